@@ -7,12 +7,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..shipping import ship
+
 FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
 HALF_WIDTH = "".join(chr(0x21 + i) for i in range(94)) + " "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:

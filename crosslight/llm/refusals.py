@@ -15,7 +15,7 @@ REFUSAL_PHRASES = (
 #: Fixed value: what stands in place of an answer.
 PLACEHOLDER = re.compile(r"(?i:[\s​﻿]*(?:\[\s*\]|\{\s*\}|null|none|nil|n/?a|tbd|todo|无|空|略|暂无|[（(](?:空|无|none|null|empty|blank)[)）]|```\w*\s*```|[\W_]*)[\s​﻿]*)*")
 #: Reasoning about single phases; an answer that has it does the task, whatever else it says.
-PHASE_WORK = re.compile(r"pred_saturation|相位\s*\d|\d\s*号相位|[Pp]hase \d|No\. \d+ reads")
+PHASE_WORK = re.compile(r"pred_saturation|相位\s*\d|\d\s*号相位|[Pp]hase \d|No\. \d+ reads|[Ff]ase \d|現示\s*\d|[Фф]аз\w* \d")
 
 
 @lru_cache(maxsize=1)
