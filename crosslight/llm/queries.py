@@ -113,3 +113,19 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_rates, p3_found, p3_groups, p4_found, p5_found, p5_sample, p5_stats, p6_found, p6_items, p6_cleaned, p7_found, p7_mix, p7_report, p8_found, p8_composition)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of those queries that it can express. The splits, sampled rows, alignments, near-duplicates, automata, token
+    counts and language models are tested against brute force in tests/llm instead."""
+    wide = "".join(chr(0xFF01 + i) for i in range(94)).replace("'", "''") + "　"
+    half = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''") + " "
+    key = lambda c: f"nullif(regexp_replace(regexp_replace(lower(translate({c}, '{wide}', '{half}')), '^[^a-z0-9]*[a-z]+:', ''), '[^a-z0-9]', '', 'g'), '')"
+    named = "nullif(regexp_extract(regexp_replace(regexp_replace(lower(state_file), '\\s+$', ''), '(\\.xml)?(\\.gz)?$', ''), 'state_[0-9-]+_t[0-9-]+_(.+)$', 1), '')"
+    return {
+        "p5_found": f"""with r as (select rec_id, coalesce({key("metadata.tl_id")}, {key(named)}) light, prediction.as_of at_, list_avg(list_filter(list_transform(prediction.phase_waits, lambda w: w.pred_saturation), lambda s: s is not null and not isnan(s) and s >= 0)) m from train_samples),
+ o as (select light, at_, arg_min(coalesce(m, -1), rec_id) m from r group by 1, 2), n as (select count(*) n from o), b as (select light, case when m < 0 then null when m < 0.3::double then 'low' when m < 0.7::double then 'med' else 'high' end bucket from o),
+ h as (select 'tl_id' dimension, light k, count(*) c from b where light is not null group by 2 union all select 'bucket', bucket, count(*) from b where bucket is not null group by 2)
+ select target_set, category from sampling_targets t cross join n left join h on h.dimension = t.dimension and h.k = case when t.dimension = 'tl_id' then {key("category")} else category end
+ where coalesce(c, 0) < greatest(min_rows, floor(target_share * floor(draw_share * n.n + 1e-9) + 1e-9))"""
+    }
