@@ -182,7 +182,7 @@ def test_leakage(spark):
 
 def test_mixing(spark):
     docs = spark.createDataFrame([(i, "word " * (20 + i % 7), "a" if i % 4 else "b", i) for i in range(200)] + [(900, None, "a", 0), (901, "x y", None, 0)], "doc_id bigint, text string, source string, tokens int")
-    t = spark.createDataFrame([("m", "a", 0.3, 1), ("m", "b", 0.7, 2), ("n", "b", 1.0, 4), ("n", "none", 0.0, 1)], "mix_id string, source string, target_share double, max_repeats int")
+    t = spark.createDataFrame([("m", "a", 0.3, 1), ("m", "b", 0.7, 2), ("n", "b", 1.0, 6), ("n", "none", 0.0, 1)], "mix_id string, source string, target_share double, max_repeats int")
     counts, plan = mixing.build(docs, t)
     total = counts.agg(F.sum("tokens")).first()[0]
     assert {(r["mix_id"], r["source"]) for r in plan.where("falls_short").collect()} == {("m", "b")}
