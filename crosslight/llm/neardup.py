@@ -1,17 +1,14 @@
 """Problem 3: groups of near-duplicate records with small edits.
 
 Two records are linked when their remarks share at least half of all distinct character 5-grams of either and at
-least half of the rows of the shorter phase list occur in the other. Both conditions go into the index: a linked
-pair shares a phase row (min_green, max_green, capacity, near saturation), which is frequent, so it is never a key by itself but only
-in combination with a token of the remark. Remark tokens fall into two classes by their count over the whole table:
-rare ones enter such combinations singly, frequent ones in twos. The prefix of a record (its first tokens in one
-order that all records share) is extended to PREFIX rare tokens, so that a pair at the similarity threshold has that
-many independent chances of one half to meet. Every candidate is then verified exactly.
+least half of the rows of the shorter phase list occur in the other. A linked pair shares a phase row (min_green,
+max_green, capacity, near saturation): all records of such a row are compared with one another, by bits of their
+5-grams that can rule a pair out but never a link. What is left is verified exactly; where a record has many such
+partners, first some of them, and then all that are not of one group yet.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +22,12 @@ TASK_LINES = r"(?m)^(任务：|要求：|请先说明理由|[0-9]\) |你负责
 REMARK_LABEL = r"(?m)^(现场备注|巡查记录|备注|Patrol notes|Site remark|Remark)\s*[：:]"
 
 GRAM = 5
-PREFIX = 12
-SELECTED = 64  # tokens of the shared order that a record looks at, at least
-FREQUENT_OF = 1000  # a token is frequent when more than one record in so many selects it
-BITS = 20  # the counts' buckets; sharing a bucket can only make a rare token count as frequent
+BITS = 2048
 ALL_PAIRS = 32
+CELL_ROWS = 8192
 BROADCAST_ROWS = 500_000
 PROBES = 24
-LOW_BITS, WINDOW = 16, 21  # a row's saturation in thousandths, and how far those of like rows may be apart
+WINDOW, BLOCK = 21, 168  # how far the saturations of like rows may be apart, and those of a cell, in thousandths
 
 
 def remark(prompt: Column) -> Column:
@@ -61,94 +56,125 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _selected(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, token hash) of the distinct tokens each document looks at, in its order. Tokens are ordered by
-    their hash; a document looks at about SELECTED of the first, all of them if it has fewer."""
-    size = texts.str.len().to_numpy(dtype=np.int64)
-    codes = np.frombuffer("".join(texts.tolist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    if len(codes) < GRAM:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.zeros(len(codes) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        h = h * np.uint64(1_000_003) + codes[k : len(codes) - GRAM + 1 + k]
-    h = _mix(h)
-    doc = np.repeat(np.arange(len(size)), size)
-    left = np.repeat(np.cumsum(size), size)[: len(h)] - np.arange(len(h))  # characters to the document's end
-    share = np.minimum(1.0, SELECTED * 1.5 / np.maximum(1, size))
-    keep = (left >= GRAM) & ((h >> np.uint64(11)) < (share[doc[: len(h)]] * 2.0**53).astype(np.uint64))
-    doc, h = doc[: len(h)][keep], h[keep]
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], h[new]
-
-
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (_mix(h ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def frequent_tokens(texts: DataFrame) -> np.ndarray:
-    """A bit for each bucket of tokens that more than one record in FREQUENT_OF selects, counted over all records.
-    Each task sends its counts in 64 slices of a fixed size; the driver gets 2^BITS bits."""
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(1 << BITS, np.uint32), 0
-        for pdf in it:
-            n += len(pdf)
-            total += np.bincount(_bucket(_selected(pdf["norm"])[1]), minlength=1 << BITS).astype(np.uint32)
-        if n:
-            yield pd.DataFrame({"part": range(64), "n": n, "counts": [zlib.compress(x.tobytes(), 1) for x in np.split(total, 64)]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << BITS) // 64, np.int64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
-        return pd.DataFrame({"part": pdf["part"][:1], "bits": [np.packbits(total > max(20, pdf["n"].sum() / FREQUENT_OF)).tobytes()]})
-
-    parts = texts.select("norm").mapInPandas(count, "part int, n bigint, counts binary")
-    got = parts.groupBy("part").applyInPandas(add, "part int, bits binary").collect()
-    return np.frombuffer(b"".join(r["bits"] for r in sorted(got, key=lambda r: r["part"])), np.uint8) if got else np.zeros((1 << BITS) // 8, np.uint8)
-
-
-def signatures(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(sig, cid): combinations of a phase row with a rare token or two frequent ones. Only records with too few rare
-    tokens use frequent ones. The low bits of `sig` hold the row's saturation in thousandths, 0 for a missing one."""
-    packed = frequent.tobytes()
-
-    def emit(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+def _sketches(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct 5-grams, bits) of each text: each distinct 5-gram flips one of BITS bits. Two texts' bits differ in no
+    more places than 5-grams are in one text only, so what `_may_link` rejects is no link."""
+    count, bits = np.zeros(len(texts), np.int64), np.zeros((len(texts), BITS // 8), np.uint8)
+    for at in range(0, len(texts), 1000):
+        part = texts.iloc[at : at + 1000]
+        size = part.str.len().to_numpy(dtype=np.int64)
+        codes = np.frombuffer("".join(part.tolist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        if len(codes) < GRAM:
+            continue
+        h = np.zeros(len(codes) - GRAM + 1, np.uint64)
+        for k in range(GRAM):
+            h = h * np.uint64(1_000_003) + codes[k : len(codes) - GRAM + 1 + k]
+        doc = np.repeat(np.arange(len(size)), size)[: len(h)]
+        keep = np.repeat(np.cumsum(size), size)[: len(h)] - np.arange(len(h)) >= GRAM
+        one = np.sort((doc[keep].astype(np.uint64) << np.uint64(54)) | (_mix(h[keep]) >> np.uint64(10)))
+        one = one[np.append(True, one[1:] != one[:-1])[: len(one)]]
+        doc = (one >> np.uint64(54)).astype(np.int64)
+        count[at : at + 1000] = np.bincount(doc, minlength=len(size))
+        flips = np.bincount(doc * BITS + (one & np.uint64(BITS - 1)).astype(np.int64), minlength=len(size) * BITS) & 1
+        bits[at : at + 1000] = np.packbits(flips.astype(bool).reshape(len(size), BITS), axis=1)
+    return count, bits
+
+
+def _may_link(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the remarks of records i and j may share half of all 5-grams of either: the smaller then has half of the
+    larger's, and at most a third of both counts together lies in one only (2 more, should hashes collide)."""
+    x, y = n[i], n[j]
+    ok = np.flatnonzero(2 * np.minimum(x, y) + 2 >= np.maximum(x, y))
+    ok = ok[3 * np.bitwise_count(bits[i[ok]] ^ bits[j[ok]]).sum(1, dtype=np.int64) <= x[ok] + y[ok] + 6]
+    got = np.zeros(len(i), bool)
+    got[ok] = True
+    return got
+
+
+def row_cells(texts: DataFrame) -> DataFrame:
+    """(cell, s, home, salt, crossed, cid, n, bits): each record once for each of its phase rows, in the cell of the
+    row's min_green, max_green, capacity and BLOCK of saturations; those of the block's first WINDOW also in the block
+    before, not at home. A cell of more than CELL_ROWS records is dealt into parts, and each two parts meet in a cell of
+    their own, crossed. Records without 5-grams have no cell, as they link with nothing but repeats."""
+    @F.pandas_udf("n int, bits binary")
+    def sketch(norm: pd.Series) -> pd.DataFrame:
+        n, bits = _sketches(norm)
+        return pd.DataFrame({"n": n, "bits": [x.tobytes() for x in bits]})
+
+    def cell(w: Column, s: Column, back: int) -> Column:
+        return F.struct(F.xxhash64(w["a"], w["b"], w["c"], F.floor(s / BLOCK) - back).alias("cell"), s.alias("s"), F.lit(back == 0).alias("home"))
+
+    level = lambda s: F.when(s.isNull(), 0).otherwise(100 + F.floor(F.least(s, F.lit(65.0)) * 1000)).cast("int")
+    cells = F.array_distinct(F.flatten(F.transform("rows", lambda r: F.when(level(r["s"]) % BLOCK <= WINDOW, F.array(cell(r, level(r["s"]), 0), cell(r, level(r["s"]), 1))).otherwise(F.array(cell(r, level(r["s"]), 0))))))
+    full = texts.select(F.explode(cells).alias("x")).groupBy("x.cell").count().where(F.col("count") > CELL_ROWS).select("cell", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("parts"))
+    one = texts.select("cid", cells.alias("cells"), sketch("norm").alias("k")).where("k.n > 0").select("cid", "k.n", "k.bits", F.explode("cells").alias("x")).select("x.*", "cid", "n", "bits")
+    parts = one.join(F.broadcast(full), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = parts.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = F.when(F.col("parts") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("salt", "other"), F.greatest("salt", "other")))
+    return met.select(own.alias("cell"), "s", "home", "salt", (F.col("salt") != F.col("other")).alias("crossed"), "cid", "n", "bits")
+
+
+def cell_pairs(cells: DataFrame, labelled: bool = False) -> DataFrame:
+    """(u, v, over): pairs u < v of one cell that may link, all of them compared. The first ALL_PAIRS followers of a
+    record are given at once; where there are more, `over` names the cell (u and v null). With `labelled`, all pairs
+    of different labels are given, however many."""
+    def pairs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            cell, s, cid = p["cell"].to_numpy(), p["s"].to_numpy(np.int64), p["cid"].to_numpy()
+            new = np.ones(len(p), bool)
+            new[1:] = (cell[1:] != cell[:-1]) | (s[1:] != s[:-1]) | (cid[1:] != cid[:-1])
+            p, cell, s, cid = p[new], cell[new], s[new], cid[new]
+            n, bits = p["n"].to_numpy(np.int64), np.frombuffer(b"".join(p["bits"]), np.uint64).reshape(len(p), BITS // 64)
+            salt, crossed, home = p["salt"].to_numpy(), p["crossed"].to_numpy(bool), p["home"].to_numpy(bool)
+            label = p["label"].to_numpy() if labelled else cid
+            given, us, vs, held = np.zeros(len(p), np.int64), [], [], 0
+            i = np.flatnonzero(home)
+            for d in range(1, len(p)):
+                i = i[i + d < len(p)]
+                i = i[(cell[i] == cell[i + d]) & (s[i + d] - s[i] <= WINDOW)]
+                if not labelled:
+                    i = i[given[i] <= ALL_PAIRS]
+                if not len(i):
+                    break
+                at = i[(label[i] != label[i + d]) & ~(crossed[i] & (salt[i] == salt[i + d]))]
+                at = at[_may_link(n, bits, at, at + d)]
+                given[at] += 1
+                if not labelled:
+                    at = at[given[at] <= ALL_PAIRS]
+                us.append(cid[at])
+                vs.append(cid[at + d])
+                held += len(at)
+                if held > 500_000:
+                    yield out(us, vs)
+                    us, vs, held = [], [], 0
+            if us:
+                yield out(us, vs)
+            if not labelled and (given > ALL_PAIRS).any():
+                over = np.unique(cell[given > ALL_PAIRS])
+                none = pd.array([None] * len(over), "Int64")
+                yield pd.DataFrame({"u": none, "v": none, "over": over})
+
+        def out(us: list[np.ndarray], vs: list[np.ndarray]) -> pd.DataFrame:
+            u, v = np.concatenate(us), np.concatenate(vs)
+            got = pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+            return got.assign(over=pd.array([None] * len(got), "Int64"))
+
+        kept: list[pd.DataFrame] = []  # what came of the last cell so far
         for pdf in it:
-            pdf = pdf.drop_duplicates("cid")
-            doc, h = _selected(pdf["norm"])
-            often = bits[_bucket(h)]
-            tokens = []
-            for cls, most in ((False, PREFIX), (True, 8)):
-                d, t = doc[often == cls], h[often == cls]
-                first = np.searchsorted(d, d)
-                at = np.arange(len(d)) - first
-                tokens.append((d[at < most], t[at < most]))
-            (rd, rt), (fd, ft) = tokens
-            few = np.bincount(rd, minlength=len(pdf)) < PREFIX
-            fd, ft = fd[few[fd]], ft[few[fd]]
-            ds, ts = [rd], [rt]
-            for k in range(1, 8):
-                same = fd[k:] == fd[:-k]
-                ds.append(fd[k:][same])
-                ts.append(_mix(ft[k:][same] + np.uint64(3) * ft[:-k][same]))
-            d, t = np.concatenate(ds), np.concatenate(ts)
-            rows = pdf["tri"].tolist()
-            n = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-            flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if n.sum() else np.empty(0, np.int64)
-            start = np.concatenate([[0], np.cumsum(n)[:-1]])
-            rep = np.repeat(np.arange(len(d)), n[d])
-            within = np.arange(len(rep)) - np.repeat(np.cumsum(n[d]) - n[d], n[d])
-            tri = flat[start[d[rep]] + within]
-            high = (_mix(t[rep] ^ (tri >> LOW_BITS).view(np.uint64)) >> np.uint64(LOW_BITS)) << np.uint64(LOW_BITS)
-            yield pd.DataFrame({"sig": (high | (tri & (2**LOW_BITS - 1)).view(np.uint64)).view(np.int64), "cid": pdf["cid"].to_numpy()[d[rep]]})
-
-    level = lambda s: F.when(s.isNull(), 0).otherwise(100 + F.floor(F.least(s, F.lit(65.0)) * 1000)).cast("bigint")
-    tri = F.array_distinct(F.transform("rows", lambda r: F.shiftleft(F.xxhash64(r["a"], r["b"], r["c"]), LOW_BITS).bitwiseOR(level(r["s"]))))
-    return texts.select("cid", "norm", tri.alias("tri")).mapInPandas(emit, "sig bigint, cid bigint")
+            if not len(pdf):
+                continue
+            c = pdf["cell"].to_numpy()
+            last = int(np.searchsorted(c, c[-1]))
+            if last == 0 and (not kept or kept[0]["cell"].iat[0] == c[0]):
+                kept.append(pdf)
+                continue
+            done = pd.concat([*kept, pdf[:last]])
+            kept = [pdf[last:]]
+            yield from run(done)
+        if kept:
+            yield from run(pd.concat(kept))
+
+    return cells.repartition("cell").sortWithinPartitions("cell", "s", "cid").mapInPandas(pairs, "u bigint, v bigint, over bigint")
 
 
 def candidate_pairs(sigs: DataFrame, low_bits: int = 0, window: int = 0) -> DataFrame:
@@ -259,8 +285,15 @@ def near_duplicate_groups(samples: DataFrame) -> DataFrame:
     """(rec_id, class_id): one row per record; records of one class are linked over others or repeat each other.
     Classes of one record are their own. Repeated rows are cases; null fields see `content`."""
     texts = content(samples)
-    links = verified_links(candidate_pairs(signatures(texts, frequent_tokens(texts)), LOW_BITS, WINDOW), texts)
+    cells = row_cells(texts)
+    got = cut(cell_pairs(cells))
+    links = cut(verified_links(got.where("over is null").select("u", "v").distinct(), texts))
     roots = connected_components(links).select(F.col("node").alias("cid"), "root")
+    over = cut(got.where("over is not null").select(F.col("over").alias("cell")).distinct())
+    if over.count():
+        rest = cells.join(over, "cell", "left_semi").join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid"))
+        more = verified_links(cell_pairs(rest, labelled=True).select("u", "v").distinct(), texts)
+        roots = connected_components(links.union(more)).select(F.col("node").alias("cid"), "root")
     return texts.select("rec_id", "cid").join(roots, "cid", "left").select("rec_id", F.coalesce("root", "cid").alias("class_id"))
 
 
