@@ -177,51 +177,6 @@ def cell_pairs(cells: DataFrame, labelled: bool = False) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell", "s", "cid").mapInPandas(pairs, "u bigint, v bigint, over bigint")
 
 
-def candidate_pairs(sigs: DataFrame, low_bits: int = 0, window: int = 0) -> DataFrame:
-    """(u, v) with u < v for records of one cell: equal `sig` but for its `low_bits`, which may differ by `window`.
-    Cells are read in order, across batches, so that none is loaded at once by Spark. A record with more than
-    ALL_PAIRS followers in its cell is linked to so many of them and to pivots (others in each cell), not to all."""
-    def pairs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep_s, keep_c = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def run(s: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-            new = np.ones(len(s), bool)
-            new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-            s, c = s[new], c[new]
-            cell = s >> low_bits
-            u, v = [], []
-            for d in range(1, ALL_PAIRS):
-                near = (cell[d:] == cell[:-d]) & (s[d:] - s[:-d] <= window)
-                if not near.any():
-                    break
-                u.append(c[:-d][near])
-                v.append(c[d:][near])
-            dense = np.flatnonzero((cell[ALL_PAIRS:] == cell[:-ALL_PAIRS]) & (s[ALL_PAIRS:] - s[:-ALL_PAIRS] <= window))
-            if len(dense):
-                at = np.unique(np.concatenate([dense, dense + ALL_PAIRS]))
-                block = s // (window + 1)
-                start = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (cell[1:] != cell[:-1])]))
-                number = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(s))))
-                order = np.lexsort((_mix(c.view(np.uint64) ^ _mix(cell.view(np.uint64))), number))
-                pivot = c[order[start]]
-                for k in (number[at], np.minimum(number[at] + 1, len(start) - 1)):
-                    u.append(c[at])
-                    v.append(pivot[k])
-            u, v = (np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, np.int64),) * 2
-            got = pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-            return got[got["u"] < got["v"]].drop_duplicates()
-
-        for pdf in it:
-            s, c = np.concatenate([keep_s, pdf["sig"].to_numpy()]), np.concatenate([keep_c, pdf["cid"].to_numpy()])
-            last = np.searchsorted(s >> low_bits, s[-1] >> low_bits) if len(s) else 0
-            keep_s, keep_c = s[last:], c[last:]
-            if last:
-                yield run(s[:last], c[:last])
-        yield run(keep_s, keep_c)
-
-    return sigs.repartition(F.shiftright("sig", low_bits)).sortWithinPartitions("sig", "cid").mapInPandas(pairs, "u bigint, v bigint").distinct()
-
-
 def shared_rows(a: Column, b: Column) -> Column:
     """Whether half of the shorter list's rows occur in the other, each row of the other used once: rows are first
     counted by who has a partner at all, which settles lists without like rows; then one by one, in order of

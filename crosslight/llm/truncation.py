@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .automata import open_delimiters
 from .common import cut
-from .neardup import BROADCAST_ROWS, _mix, candidate_pairs
+from .neardup import BROADCAST_ROWS, CELL_ROWS, _mix
 from .refusals import PHASE_WORK, PLACEHOLDER, is_refusal
 
 SIMILARITY = 0.8
@@ -172,10 +172,61 @@ def text_key(text: F.Column) -> F.Column:
     return F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(F.contains(text, F.lit(END_PLAN)).cast("bigint"))
 
 
+def open_pairs(sigs: DataFrame) -> DataFrame:
+    """(u, v) with u < v: all pairs of texts with an equal key, but for those that both close a plan. The texts of a key
+    that more than CELL_ROWS have are dealt into parts, and each two parts meet by themselves."""
+    def pairs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            sig, cid, salt, crossed = p["sig"].to_numpy(), p["cid"].to_numpy(), p["salt"].to_numpy(), p["crossed"].to_numpy(bool)
+            us, vs, held = [], [], 0
+            i = np.flatnonzero(p["closed"].to_numpy() == 0)  # these come first under a key
+            for d in range(1, len(p)):
+                i = i[i + d < len(p)]
+                i = i[sig[i] == sig[i + d]]
+                if not len(i):
+                    break
+                at = i[~(crossed[i] & (salt[i] == salt[i + d]))]
+                us.append(cid[at])
+                vs.append(cid[at + d])
+                held += len(at)
+                if held > 500_000:
+                    yield out(us, vs)
+                    us, vs, held = [], [], 0
+            if us:
+                yield out(us, vs)
+
+        def out(us: list[np.ndarray], vs: list[np.ndarray]) -> pd.DataFrame:
+            u, v = np.concatenate(us), np.concatenate(vs)
+            return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+
+        kept: list[pd.DataFrame] = []  # what came of the last key so far
+        for pdf in it:
+            if not len(pdf):
+                continue
+            key = pdf["sig"].to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last == 0 and (not kept or kept[0]["sig"].iat[0] == key[0]):
+                kept.append(pdf)
+                continue
+            done = pd.concat([*kept, pdf[:last]])
+            kept = [pdf[last:]]
+            yield from run(done)
+        if kept:
+            yield from run(pd.concat(kept))
+
+    sigs = cut(sigs.distinct())
+    full = sigs.groupBy("sig").count().where(F.col("count") > CELL_ROWS).select("sig", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("parts"))
+    parts = sigs.join(F.broadcast(full), "sig", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = parts.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = F.when(F.col("parts") == 1, F.col("sig")).otherwise(F.xxhash64("sig", F.least("salt", "other"), F.greatest("salt", "other")))
+    met = met.select(own.alias("sig"), "salt", (F.col("salt") != F.col("other")).alias("crossed"), "cid", F.col("cid").bitwiseAND(1).alias("closed"))
+    return met.repartition("sig").sortWithinPartitions("sig", "closed", "cid").mapInPandas(pairs, "u bigint, v bigint").distinct()
+
+
 def aligned_cuts(texts: DataFrame) -> DataFrame:
     """(cid) of texts with a near-copy that goes on where they end. `texts` is (cid, text), repeats included; pairs of
     closed plans leave before texts are joined."""
-    pairs = cut(candidate_pairs(band_keys(texts)).where("(u & v & 1) = 0"))
+    pairs = cut(open_pairs(band_keys(texts)))
     ends = pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
     need = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
     t = texts.join(need, "cid", "left_semi").groupBy("cid").agg(F.first("text").alias("text"))
