@@ -76,7 +76,7 @@ def uniform_hash(*cols: Column) -> Column:
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 20))).first()
+    r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     return tuple(r)
 
 
