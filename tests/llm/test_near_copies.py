@@ -58,3 +58,13 @@ def test_p3_crowded_cell_against_brute_force(spark, monkeypatch):
         want[find(i)].add(i)
     want = {frozenset(x) for x in want.values() if len(x) > 1}
     assert len(want) > 20 and groups(spark, rows) == want
+
+
+def test_p3_long_repeated_runs(spark):
+    """A remark with a long run of few distinct 5-grams, and very long repetitive ones."""
+    rnd = random.Random(7)
+    text, w = word(rnd, 60), [(1, 0.5, 5, 50, 15)]
+    assert neardup.similar(text + "ab" * 500, text) and not neardup.similar(text + "ab" * 500, "ab" * 500)
+    long = [(3, text[:20] * 2000), (4, text[:20] * 2500 + "x")]
+    rows = [(i, "kx_1", None, "a", w, t) for i, t in [(1, text + "ab" * 500), (2, text), *long]]
+    assert groups(spark, rows) == {frozenset({1, 2}), frozenset({3, 4})}
