@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Hashable, Iterable, Sequence
+from collections.abc import Hashable, Iterable, Iterator, Sequence
 
 
 class SuffixAutomaton:
@@ -74,6 +74,38 @@ class SuffixAutomaton:
         a, b = self._order[state]
         return self._flat[a:b]
 
+    def shared(self, tokens: Iterable[Hashable], least: int) -> Iterator[tuple[int, int, int, int]]:
+        """(end, sequence, position, length): for every place of `tokens` and every sequence, each position at which
+        both have a common ending of at least `least` tokens, and how long the longest is. Complete: what ends inside a
+        longer match of another sequence is given too, as the suffix links hold it. The positions of a state lie within
+        those of its link, so each is given once."""
+        if self._order is None:
+            self.occurrences(0)
+        s, n = 0, 0
+        trans, link, length, order, flat = self.trans, self.link, self.length, self._order, self._flat
+        for at, token in enumerate(tokens):
+            while s and token not in trans[s]:
+                s = link[s]
+                n = length[s]
+            q = trans[s].get(token)
+            if q is None:
+                s, n = 0, 0
+                continue
+            s, n = q, n + 1
+            if n < least:
+                continue
+            a, b = order[s]
+            for k, e in flat[a:b]:
+                yield at, k, e, n
+            r = link[s]
+            while r > 0 and (m := length[r]) >= least:
+                x, y = order[r]
+                for k, e in flat[x:a]:
+                    yield at, k, e, m
+                for k, e in flat[b:y]:
+                    yield at, k, e, m
+                a, b, r = x, y, link[r]
+
     def matches(self, tokens: Iterable[Hashable], least: int) -> list[tuple[int, int, int]]:
         """(end position, length, state) of every match of at least `least` tokens that the next token does not
         prolong; shorter ones ending at the same place are left to the caller (suffix links)."""

@@ -1,10 +1,16 @@
-"""Problem 6: evaluation passages inside training text."""
+"""Problem 6: evaluation passages inside training text.
+
+The items' normalised tokens form generalised suffix automata, one over words and one over characters. Documents stream
+through them; nothing of the corpus is shuffled. Items beyond SHARD_TOKENS are dealt into several automata, each of which
+is one pass over the corpus, so what a task holds is bounded however many items there are.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -12,12 +18,13 @@ from pyspark.sql import DataFrame, functions as F
 from .automata import SuffixAutomaton
 
 LEAST_WORDS, LEAST_CHARS, LEAST_SHARE = 8, 12, 0.5
-MAX_ITEM_CHARS = 50_000_000  # the automaton is sent to every task; beyond this, items go in several rounds
+SHARD_TOKENS = 250_000  # tokens of the items in one automaton: some 150 MB in a worker
 
-_MARKUP = re.compile(r"<[a-zA-Z/!][^<>]{0,400}>|&[a-zA-Z]{1,10};|&#\d{1,7};")
-_HAN = re.compile(r"[㐀-鿿豈-﫿]")
+_HAN_CLASS = "㐀-鿿豈-﫿"
+_MARKUP = re.compile(r"<[a-zA-Z/!][^<>]*>|&[a-zA-Z]{1,10};|&#\d{1,7};")
+_HAN = re.compile(f"[{_HAN_CLASS}]")
 _DROP = re.compile("['’‘­​-‍﻿`]|(?<=[a-z])-[ \t]*\r?\n[ \t]*(?=[a-z])")
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(rf"[{_HAN_CLASS}]|[^\W_{_HAN_CLASS}]+")
 _CHAR = re.compile(r"[^\W_]")
 
 
@@ -25,90 +32,184 @@ def plain(text: str) -> str:
     return _DROP.sub("", unicodedata.normalize("NFKC", _MARKUP.sub(" ", text)).casefold())
 
 
+def placed(text: str) -> tuple[str, list[int]]:
+    """`plain` of a text with the place in the text that each character comes from. A character is normalised with the
+    combining marks behind it, tags and references become one blank."""
+    out: list[str] = []
+    at: list[int] = []
+
+    def add(a: int, b: int) -> None:
+        while a < b:
+            e = a + 1
+            while e < b and unicodedata.combining(text[e]):
+                e += 1
+            for c in unicodedata.normalize("NFKC", text[a:e]).casefold():
+                out.append(c)
+                at.append(a)
+            a = e
+
+    last = 0
+    for m in _MARKUP.finditer(text):
+        add(last, m.start())
+        out.append(" ")
+        at.append(m.start())
+        last = m.end()
+    add(last, len(text))
+    low, keep, last = "".join(out), [], 0
+    for m in _DROP.finditer(low):
+        keep.append((last, m.start()))
+        last = m.end()
+    keep.append((last, len(low)))
+    return "".join(low[a:b] for a, b in keep), [p for a, b in keep for p in at[a:b]]
+
+
 def by_chars(text: str) -> bool:
     """Chinese passages are compared by characters, others by words."""
-    return 2 * len(_HAN.findall(text)) > len(_WORD.findall(text))
+    return len(_HAN.findall(text)) > len(_WORD.findall(_HAN.sub(" ", text)))
 
 
 class Items:
-    """The generalised suffix automata of the normalised items, one over words and one over characters."""
+    """The automata of items (id, passage), and the walk of a text through them."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.kinds = []
+        low = [(i, plain(t or "")) for i, t in items]
         for chars, least in ((False, LEAST_WORDS), (True, LEAST_CHARS)):
-            own = [(i, _CHAR.findall(t) if chars else _WORD.findall(t)) for i, t in ((i, plain(t or "")) for i, t in items) if by_chars(t) == chars]
+            own = [(i, (_CHAR if chars else _WORD).findall(t)) for i, t in low if by_chars(t) == chars]
             own = [(i, t) for i, t in own if t]
-            self.kinds.append((chars, least, [i for i, _ in own], [len(t) for _, t in own], SuffixAutomaton(t for _, t in own)))
-
-    def carried(self, text: str) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
-        """(item, covered tokens, the item's tokens, spans of the document's tokens) for each item of which a text has
-        any stretch of the least length."""
-        low, out = plain(text), []
+            sam = SuffixAutomaton(t for _, t in own)
+            sam.occurrences(0)
+            self.kinds.append((chars, least, [i for i, _ in own], [len(t) for _, t in own], sam))
+
+    def _walk(self, low: str, tokens_of_text: bool = False) -> Iterator[tuple[bool, int, int, int, set[int]]]:
+        """(by characters, item, covered tokens, size, tokens of the text that cover it) of each item of which the text
+        has a stretch of the least length. A stretch is marked whole where it reaches the least length, and token by
+        token as it goes on."""
         for chars, least, ids, sizes, sam in self.kinds:
             if not ids or (chars and not _HAN.search(low)):
                 continue
-            tokens = _CHAR.findall(low) if chars else _WORD.findall(low)
-            found: dict[int, tuple[bytearray, list[tuple[int, int]]]] = {}
-            for end, n, s in sam.matches(tokens, least):
-                seen: set[tuple[int, int]] = set()
-                while n >= least:
-                    for item, at in sam.occurrences(s):
-                        if (item, at) in seen:
-                            continue
-                        seen.add((item, at))
-                        cover, spans = found.setdefault(item, (bytearray(sizes[item]), []))
-                        cover[at - n + 1 : at + 1] = b"\x01" * n
-                        spans.append((end - n + 1, end + 1))
-                    s = sam.link[s]
-                    n = sam.length[s] if s > 0 else 0
-            out += [(ids[k], sum(c), sizes[k], sp) for k, (c, sp) in found.items()]
+            found: dict[int, tuple[bytearray, set[int]]] = {}
+            for end, k, e, n in sam.shared((_CHAR if chars else _WORD).findall(low), least):
+                if k not in found:
+                    found[k] = (bytearray(sizes[k]), set())
+                cover, own = found[k]
+                if n == least:
+                    cover[e - n + 1 : e + 1] = b"\x01" * n
+                    if tokens_of_text:
+                        own.update(range(end - n + 1, end + 1))
+                else:
+                    cover[e] = 1
+                    if tokens_of_text:
+                        own.add(end)
+            for k, (cover, own) in found.items():
+                yield chars, ids[k], sum(cover), sizes[k], own
+
+    def carried(self, text: str) -> list[tuple[int, int, int]]:
+        """(item, covered tokens, the item's tokens) for each item of which a text has any stretch."""
+        return [(i, n, size) for _, i, n, size, _ in self._walk(plain(text))]
+
+    def spans(self, text: str, share: float = LEAST_SHARE) -> list[tuple[int, int]]:
+        """Where in a text the stretches of items stand of which it has at least `share`; separate, in order."""
+        low, at = placed(text)
+        gone = set()
+        for chars in (False, True):
+            own = set().union(*(tokens for c, _, n, size, tokens in self._walk(low, True) if c == chars and n >= share * size))
+            if own:
+                gone |= {p for k, m in enumerate((_CHAR if chars else _WORD).finditer(low)) if k in own for p in range(m.start(), m.end())}
+                ends = [(m.start(), m.end()) for m in (_CHAR if chars else _WORD).finditer(low)]
+                for k in own:  # what stands between two tokens of a stretch goes with them
+                    if k + 1 in own:
+                        gone.update(range(ends[k][1], ends[k + 1][0]))
+        out: list[tuple[int, int]] = []
+        for p in sorted(gone):
+            a, b = at[p], at[p + 1] if p + 1 < len(at) else len(text)
+            if p + 1 not in gone:
+                b = min(b, a + 1 + sum(1 for _ in _marks(text, a + 1)))
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
         return out
 
-    def without(self, text: str, share: float = LEAST_SHARE) -> tuple[str, int]:
-        """The text without the stretches of the items it carries, and how many tokens went; a text that carries none
-        comes back as it is. The rest is returned normalised, as its tokens joined."""
-        bad = [(k, n, size, sp) for k, n, size, sp in self.carried(text) if n >= share * size]
-        if not bad:
-            return text, 0
-        chars = bool(_HAN.search(text))
-        tokens = _CHAR.findall(plain(text)) if chars else _WORD.findall(plain(text))
-        gone = {i for *_, sp in bad for a, b in sp for i in range(a, b)}
-        return ("" if chars else " ").join(t for i, t in enumerate(tokens) if i not in gone), len(gone)
+
+def _marks(text: str, at: int) -> Iterator[str]:
+    while at < len(text) and unicodedata.combining(text[at]):
+        yield text[at]
+        at += 1
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without its spans; all else stays as it is, letter case and punctuation included."""
+    out, last = [], 0
+    for a, b in sorted(spans):
+        out.append(text[last : max(a, last)])
+        last = max(last, b)
+    return "".join(out) + text[last:]
+
+
+def shards(items: DataFrame, most: int | None = None) -> Iterator[list[tuple[int, str]]]:
+    """The items in lists of at most `most` (SHARD_TOKENS) tokens, or one longer item; read as a stream."""
+    held, size = [], 0
+    for r in items.where("passage is not null").select("item_id", "passage").toLocalIterator():
+        n = len(_CHAR.findall(r["passage"]))
+        if held and size + n > (most or SHARD_TOKENS):
+            yield held
+            held, size = [], 0
+        held.append((r["item_id"], r["passage"]))
+        size += n
+    if held:
+        yield held
+
+
+def _each_shard(documents: DataFrame, items: DataFrame, work: Callable[[Items, pd.DataFrame], pd.DataFrame], schema: str) -> tuple[DataFrame, int]:
+    """The union of `work(automata, batch)` over the shards, and how many there are. Automata are built once here and broadcast; a worker
+    unpacks them once, whatever its tasks."""
+    d = documents.where("text is not null").select("doc_id", "text")
+    sc = documents.sparkSession.sparkContext
+    parts = []
+    for held in shards(items):
+        sent = sc.broadcast(Items(held))
+
+        def run(it: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                yield work(sent.value, pdf)
+
+        parts.append(d.mapInPandas(run, schema))
+    return (reduce(DataFrame.union, parts) if parts else documents.sparkSession.createDataFrame([], schema)), len(parts)
 
 
 def leaked(documents: DataFrame, items: DataFrame, share: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, item_id, covered, size): documents whose text contains stretches of a passage, each at least 8 words (12
     characters of Chinese) long, that together make up at least `share` of it.
 
-    Items are held-out material of a fixed size (checked): their automaton is built once and every document streams
-    through it, so the corpus is neither shuffled nor compared in pairs. Repeated documents are all reported. Null and
-    empty texts carry nothing; empty passages never leak.
+    Repeated documents are all reported. Null and empty texts carry nothing; empty passages never leak; no items or no
+    documents give no rows.
     """
-    held = [(r["item_id"], r["passage"]) for r in items.where("passage is not null").select("item_id", "passage").toLocalIterator()]
-    if sum(len(t) for _, t in held) > MAX_ITEM_CHARS:
-        raise ValueError("too many items for one automaton: pass them in parts and union the results")
+    def work(automata: Items, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(d, i, n, size) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, n, size in automata.carried(t) if n >= share * size]
+        return pd.DataFrame(rows, columns=["doc_id", "item_id", "covered", "size"])
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = Items(held)
-        for pdf in it:
-            rows = [(d, i, n, size) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, n, size, _ in automaton.carried(t) if n >= share * size]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "covered", "size"])
-
-    d = documents.where("text is not null").select("doc_id", "text")
-    return d.mapInPandas(run, "doc_id bigint, item_id bigint, covered bigint, size bigint")
+    return _each_shard(documents, items, work, "doc_id bigint, item_id bigint, covered bigint, size bigint")[0]
 
 
 def cleaned(documents: DataFrame, items: DataFrame, share: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id, removed, text): every document that carries items, without their stretches."""
-    held = [(r["item_id"], r["passage"]) for r in items.where("passage is not null").select("item_id", "passage").toLocalIterator()]
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = Items(held)
+    """(doc_id, removed, text): every document that carries items, without their stretches, `removed` characters
+    shorter and otherwise unchanged. Where there are several shards, their spans are united by document and text before
+    the cut: repeated ids with other texts stay apart, rows that repeat both then come out once."""
+    def work(automata: Items, pdf: pd.DataFrame) -> pd.DataFrame:
+        got = [(d, automata.spans(t, share), t) for d, t in zip(pdf["doc_id"], pdf["text"])]
+        rows = [(d, [{"a": a, "b": b} for a, b in sp], t) for d, sp, t in got if sp]
+        return pd.DataFrame(rows, columns=["doc_id", "spans", "text"])
+
+    found, n = _each_shard(documents, items, work, "doc_id bigint, spans array<struct<a:int,b:int>>, text string")
+    one = found if n == 1 else found.groupBy("doc_id", "text").agg(F.flatten(F.collect_list("spans")).alias("spans")).select("doc_id", "spans", "text")
+
+    def cut_(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [(d, n, t) for d, (t, n) in ((d, automaton.without(t, share)) for d, t in zip(pdf["doc_id"], pdf["text"])) if n]
-            yield pd.DataFrame(rows, columns=["doc_id", "removed", "text"])
+            rest = [without(t, sorted((s["a"], s["b"]) for s in sp)) for t, sp in zip(pdf["text"], pdf["spans"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "removed": [len(t) - len(r) for t, r in zip(pdf["text"], rest)], "text": rest})
 
-    return documents.where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, removed bigint, text string")
+    return one.mapInPandas(cut_, "doc_id bigint, removed bigint, text string")
 
 
 def item_report(found: DataFrame) -> DataFrame:
