@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
@@ -18,13 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a folder of our own only where none is set."""
+    """Reliable checkpoint in the folder the session names. A folder of our own only on a local master, where all tasks
+    share it; on a cluster a missing setting is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crosslight-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="crosslight-ckpt-"))
     return df.checkpoint(True)
 
 
+#: A side of at most so many rows of a few numbers or short strings each is broadcast; some 20 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df` for the side of a join, as a broadcast where a count shows it to be small, else as it is (shuffled)."""
+    return F.broadcast(df) if df.limit((rows or BROADCAST_ROWS) + 1).count() <= (rows or BROADCAST_ROWS) else df
+
+
 def half_width(c: Column) -> Column:
     return F.translate(c, FULL_WIDTH, HALF_WIDTH)
 
@@ -51,6 +65,11 @@ def state_light(key: Column) -> Column:
     return F.when(x != "", light_key(x))
 
 
+def slices_for(rows: int) -> int:
+    """A power of two of slices (64 at least) that keeps a slice of a group of all `rows` rows near 50,000."""
+    return max(64, 1 << max(0, rows // 50_000).bit_length())
+
+
 def dense_in_groups(df: DataFrame, keys: list[str], order: str, rank: str, slices: int = 1024, weight: str | None = None) -> DataFrame:
     """Add the running rank (or running sum of `weight`, exclusive) of each row in its group by `order`, a column
     of uniform hashes in [0, 2^62). A group is ranked in `slices` pieces by the hash, so no task holds a whole group.
@@ -70,6 +89,29 @@ def dense_in_groups(df: DataFrame, keys: list[str], order: str, rank: str, slice
     return ranked.join(offsets, on).withColumn(rank, F.col("__before") + F.col("__in")).drop("__slice", "__in", "__s", "__before", *[f"__k{i}" for i in range(len(keys))])
 
 
+def smallest(df: DataFrame, keys: list[str], order: str, wanted: DataFrame, slices: int = 1024) -> DataFrame:
+    """The rows of `df` among the `quota` smallest of their group by `order`, a column of uniform hashes in [0, 2^62),
+    for every row of `wanted` (keys, quota and further columns, which are added); ties go to the smaller `__id`.
+
+    Counts by slice of the hash tell the slice in which a quota ends: slices below are taken as they are, only the rows
+    of that one are ranked, so neither a task nor a sort holds a whole group."""
+    width = (1 << 62) // slices
+    cut_ = df.withColumn("__slice", F.expr(f"cast({order} div {width} as int)"))
+    sums = cut_.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("bigint")))
+    asked = wanted.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in wanted.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    plan = sums.join(F.broadcast(asked), on).where("__before < quota").drop(*[f"__k{i}" for i in range(len(keys))])
+    far = plan.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__slice").alias("__s"), *[c for c in plan.columns if c not in keys and c != "__slice"])
+    got = cut_.join(small(far), on & (F.col("__slice") == F.col("__s"))).drop("__s", *[f"__k{i}" for i in range(len(keys))])
+    others = [c for c in asked.columns if not c.startswith("__k") and c != "quota"]
+    sure = got.where("__before + __n <= quota")
+    rank = F.row_number().over(W.partitionBy(*keys, *others, "__slice").orderBy(order, "__id"))
+    edge = got.where("__before + __n > quota").withColumn("__in", rank).where("__before + __in <= quota").drop("__in")
+    return sure.union(edge).drop("__slice", "__n", "__before")
+
+
 def uniform_hash(*cols: Column) -> Column:
     """Uniform in [0, 2^62); the same for the same values whatever the partitioning."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 2)

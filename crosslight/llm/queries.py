@@ -34,6 +34,10 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.source_rates(_judged(spark, d))
 
 
+def p2_causes(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_causes(_judged(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.group_pairs(neardup.near_duplicate_groups(table(spark, d, "train_samples")))
 
@@ -46,23 +50,32 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, d, "teacher_results"), table(spark, d, "train_samples"), table(spark, d, "api_responses"))
 
 
-def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    records = cut(targets.distinct_records(table(spark, d, "train_samples")))
-    return records, cut(targets.quotas(records, table(spark, d, "sampling_targets")))
+def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    t = table(spark, d, "sampling_targets")
+    records, filled = targets.filled_reservoirs(table(spark, d, "train_samples"), t)
+    return records, filled, targets.quotas(filled, t)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    quota = targets.quotas(targets.distinct_records(table(spark, d, "train_samples")), table(spark, d, "sampling_targets"))
-    return quota.where("exhausted").select("target_set", "category")
+    return _drawn(spark, d)[2].where("exhausted").select("target_set", "category")
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
-    return targets.draw_sample(*_drawn(spark, d))
+    return targets.draw_sample(*_drawn(spark, d)[1:])
+
+
+def p5_scaled(spark: SparkSession, d: str) -> DataFrame:
+    return targets.draw_sample(*_drawn(spark, d)[1:], scaled=True)
 
 
 def p5_stats(spark: SparkSession, d: str) -> DataFrame:
-    records, quota = _drawn(spark, d)
-    return targets.draw_stats(targets.draw_sample(records, quota), quota)
+    _, filled, quota = _drawn(spark, d)
+    return targets.draw_stats(targets.draw_sample(filled, quota), quota)
+
+
+def p5_runs(spark: SparkSession, d: str) -> DataFrame:
+    records, filled, quota = _drawn(spark, d)
+    return targets.run_statistics(targets.draw_sample(filled, quota), records, quota)
 
 
 def _leaked(spark: SparkSession, d: str) -> DataFrame:
@@ -81,8 +94,8 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.cleaned(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.build(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+def _mix(spark: SparkSession, d: str, mode: str = "shares") -> tuple[DataFrame, DataFrame]:
+    return mixing.build(table(spark, d, "documents"), table(spark, d, "mix_targets"), mode=mode)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +111,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mixing.realise(counts, plan), plan)
 
 
+def p7_tempered(spark: SparkSession, d: str) -> DataFrame:
+    counts, plan = _mix(spark, d, "tempered")
+    return mixing.mix_report(mixing.realise(counts, plan), plan)
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return subjects.document_subjects(docs, subjects.fitted(docs, table(spark, d, "doc_labels"), table(spark, d, "subject_areas")))
@@ -112,7 +130,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_rates, p3_found, p3_groups, p4_found, p5_found, p5_sample, p5_stats, p6_found, p6_items, p6_cleaned, p7_found, p7_mix, p7_report, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_rates, p2_causes, p3_found, p3_groups, p4_found, p5_found, p5_sample, p5_scaled, p5_stats, p5_runs, p6_found, p6_items, p6_cleaned, p7_found, p7_mix, p7_report, p7_tempered, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
