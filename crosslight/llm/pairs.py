@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .automata import SuffixAutomaton
-from .neardup import BROADCAST_ROWS
+from .common import small
 from .refusals import PLACEHOLDER, is_refusal
 from .truncation import TAG, _unwrap, all_texts, judged
 
@@ -51,24 +51,26 @@ def _letters(text: str) -> str:
 
 def copied_share(prompt: str, answer: str) -> float:
     """The share of an answer's letters and digits that lies in stretches of the prompt, of at least 6 characters in
-    Chinese and 14 otherwise, by a walk through the prompt's suffix automaton. Where no block of such a stretch occurs
-    in the prompt often enough to matter, no automaton is built."""
+    Chinese and 14 otherwise, by a walk through the prompt's suffix automaton. Where so few blocks of half a stretch occur
+    in the prompt that the share must be below COPIED_SHARE, no automaton is built and 0 is returned: a stretch with h
+    whole blocks of k characters has at most h * k + 2 * (k - 1), so at most 3 * k - 2 for each block."""
     p, a = _letters(prompt), _letters(answer)
-    if len(a) < 8:
-        return 0.0
     least = 6 if 3 * len(re.findall("[㐀-鿿]", a)) > len(a) else 14
-    half = max(3, least // 2)
+    if len(a) < least:
+        return 0.0
+    half = least // 2
     blocks = range(0, len(a) - half + 1, half)  # a stretch of `least` holds at least one whole block, a longer one more
     hits = sum(a[i : i + half] in p for i in blocks)
-    if hits < 0.3 * len(blocks):
+    if hits * (3 * half - 2) < COPIED_SHARE * len(a):
         return 0.0
     return SuffixAutomaton([p]).coverage(a, least) / len(a)
 
 
-def defect(prompt: str | None, raw: str | None, think: str | None, cut: bool) -> str | None:
-    """The defect of a pair, the first that holds of: empty, truncated, refusal, copied, language. `raw` is judged,
-    `think` only where nothing raw was kept. Without a prompt, only the first three can be told."""
-    text = raw if raw is not None and raw.strip() else (think or "")
+def defect(prompt: str | None, raw: str | None, think: str | None, cut: bool, plan: str | None = None) -> str | None:
+    """The defect of a pair, the first that holds of: empty, truncated, refusal, copied, language. `raw` is judged; only
+    where nothing raw was kept, the parsed reasoning `think` with the parsed `plan` (JSON, if any) takes its place.
+    Without a prompt, only the first three can be told."""
+    text = raw if raw is not None and raw.strip() else (think or "") + (f"<SOLUTION>{plan}</SOLUTION>" if plan is not None else "")
     body = _unwrap(text)[0].strip()
     reasoning = TAG.sub("", PLAN.sub("", body)).strip()
     if PLACEHOLDER.fullmatch(reasoning):
@@ -95,16 +97,15 @@ def defective_pairs(results: DataFrame, samples: DataFrame, responses: DataFrame
     rows are reported each. Prompts reach their answers by one join on rec_id; white space in them is shrunk first,
     and prompts nobody answered leave before it (their ids are broadcast only when they are few)."""
     cuts = judged(all_texts(responses, results)).where("record_table = 'teacher_results' and cut").select(F.col("record_id").alias("result_id"), F.lit(True).alias("cut"))
-    r = results.where("status is null or status not in ('api_error', 'exception')").select("result_id", "rec_id", "raw_content", "think_text").join(cuts, "result_id", "left")
+    r = results.where("status is null or status not in ('api_error', 'exception')").select("result_id", "rec_id", "raw_content", *[F.when(~F.coalesce(F.col("raw_content").rlike(r"\S"), F.lit(False)), c).alias(n) for c, n in ((F.col("think_text"), "think_text"), (F.to_json("solution"), "plan"))]).join(cuts, "result_id", "left")
     ids = results.select("rec_id").where("rec_id is not null").distinct()
-    need = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    p = samples.select("rec_id", F.regexp_replace("prompt", r"\s+", " ").alias("prompt")).join(need, "rec_id", "left_semi")
+    p = samples.select("rec_id", F.regexp_replace("prompt", r"\s+", " ").alias("prompt")).join(small(ids), "rec_id", "left_semi")
 
     def check(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            got = [defect(a if isinstance(a, str) else None, b if isinstance(b, str) else None, c if isinstance(c, str) else None, bool(k)) for a, b, c, k in zip(pdf["prompt"], pdf["raw_content"], pdf["think_text"], pdf["cut"])]
+            got = [defect(a if isinstance(a, str) else None, b if isinstance(b, str) else None, c if isinstance(c, str) else None, bool(k), p if isinstance(p, str) else None) for a, b, c, k, p in zip(pdf["prompt"], pdf["raw_content"], pdf["think_text"], pdf["cut"], pdf["plan"])]
             out = pdf[["result_id"]].assign(defect=got)
             yield out[out["defect"].notna()]
 
-    j = r.join(p, "rec_id", "left").select("result_id", "prompt", "raw_content", "think_text", F.coalesce("cut", F.lit(False)).alias("cut"))
+    j = r.join(p, "rec_id", "left").select("result_id", "prompt", "raw_content", "think_text", "plan", F.coalesce("cut", F.lit(False)).alias("cut"))
     return j.mapInPandas(check, "result_id bigint, defect string")
