@@ -1,9 +1,12 @@
 """Problem 3: groups of near-duplicate records with small edits.
 
 Two records are linked when their remarks share at least half of all distinct character 5-grams of either and at
-least half of the rows of the shorter phase list occur in the other. A linked pair shares a phase row (min_green,
-max_green, capacity, near saturation): all records of such a row are compared with one another, by bits of their
-5-grams that can rule a pair out but never a link. What is left is verified exactly; where a record has many such
+least half of the rows of the shorter phase list occur in the other. Candidates come from token combinations, the tokens
+being phase rows (min_green, max_green, capacity, near saturation): of two lists of three rows or more, a link shares two
+rows, of shorter ones at least one. A row that few records have is indexed alone; rows that many have are indexed in
+combinations of two, and alone only for the lists too short to have a second common one. No prefix shortens a list, as a
+partner may be so short that any one row links. All records of an index entry are compared with one another, by bits of
+their 5-grams that can rule a pair out but never a link. What is left is verified exactly; where a record has many such
 partners, first some of them, and then all that are not of one group yet.
 """
 
@@ -15,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, small
 
 #: How the wordings of the task begin, and the labels of the remark.
 TASK_LINES = r"(?m)^(任务：|要求：|请先说明理由|[0-9]\) |你负责本路口的配时|Task: |Rules: |Explain first|You time this junction).*$"
@@ -25,7 +28,7 @@ GRAM = 5
 BITS = 2048
 ALL_PAIRS = 32
 CELL_ROWS = 8192
-BROADCAST_ROWS = 500_000
+RARE, MOST_FREQUENT = 256, 500_000  # a row that more records have is a frequent token; how many of these a task is sent
 WINDOW, BLOCK = 21, 168  # how far the saturations of like rows may be apart, and those of a cell, in thousandths
 
 
@@ -91,26 +94,55 @@ def _may_link(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) ->
 
 
 def row_cells(texts: DataFrame) -> DataFrame:
-    """(cell, s, home, salt, crossed, cid, n, bits): each record once for each of its phase rows, in the cell of the
-    row's min_green, max_green, capacity and BLOCK of saturations; those of the block's first WINDOW also in the block
-    before, not at home. A cell of more than CELL_ROWS records is dealt into parts, and each two parts meet in a cell of
-    their own, crossed. Records without 5-grams have no cell, as they link with nothing but repeats."""
-    @F.pandas_udf("n int, bits binary")
-    def sketch(norm: pd.Series) -> pd.DataFrame:
-        n, bits = _sketches(norm)
-        return pd.DataFrame({"n": n, "bits": [x.tobytes() for x in bits]})
-
-    def cell(w: Column, s: Column, back: int) -> Column:
-        return F.struct(F.xxhash64(w["a"], w["b"], w["c"], F.floor(s / BLOCK) - back).alias("cell"), s.alias("s"), F.lit(back == 0).alias("home"))
-
+    """(cell, s, home, salt, crossed, needs_short, short, cid, n, bits): the index entries of each record.
+
+    The token of a phase row is its min_green, max_green, capacity and BLOCK of saturations; a row in the block's first
+    WINDOW also has the token of the block before, where it is not at home. Each record is entered under each of its
+    tokens. Under a token of more than RARE records, pairs count only if one of the two has a list of at most two rows
+    (`needs_short`); the longer lists are also entered under each combination of two such tokens of different rows. A
+    token of more than CELL_ROWS records is dealt into parts, and each two parts meet in a cell of their own, crossed.
+    Records without 5-grams have no entry, as they link with nothing but repeats."""
     level = lambda s: F.when(s.isNull(), 0).otherwise(100 + F.floor(F.least(s, F.lit(65.0)) * 1000)).cast("int")
-    cells = F.array_distinct(F.flatten(F.transform("rows", lambda r: F.when(level(r["s"]) % BLOCK <= WINDOW, F.array(cell(r, level(r["s"]), 0), cell(r, level(r["s"]), 1))).otherwise(F.array(cell(r, level(r["s"]), 0))))))
-    full = texts.select(F.explode(cells).alias("x")).groupBy("x.cell").count().where(F.col("count") > CELL_ROWS).select("cell", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("parts"))
-    one = texts.select("cid", cells.alias("cells"), sketch("norm").alias("k")).where("k.n > 0").select("cid", "k.n", "k.bits", F.explode("cells").alias("x")).select("x.*", "cid", "n", "bits")
-    parts = one.join(F.broadcast(full), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    token = lambda r, i, back: F.struct(F.xxhash64(r["a"], r["b"], r["c"], F.floor(level(r["s"]) / BLOCK) - back).alias("cell"), level(r["s"]).alias("s"), F.lit(back == 0).alias("home"), i.alias("row"))
+    tokens = F.flatten(F.transform("rows", lambda r, i: F.when(level(r["s"]) % BLOCK <= WINDOW, F.array(token(r, i, 0), token(r, i, 1))).otherwise(F.array(token(r, i, 0)))))
+    listed = texts.select("cid", "norm", (F.size("rows") <= 2).alias("short"), tokens.alias("t")).select("cid", "norm", "short", "t.cell", "t.s", "t.home", "t.row")
+    sizes = cut(listed.select(F.explode(F.array_distinct("cell")).alias("cell")).groupBy("cell").count())
+    rare = max(RARE, (sizes.agg(F.sum("count")).first()[0] or 0) // MOST_FREQUENT)  # so at most MOST_FREQUENT are above
+    often = np.sort(np.array([r["cell"] for r in sizes.where(F.col("count") > rare).select("cell").toLocalIterator()], np.int64))
+    sent = texts.sparkSession.sparkContext.broadcast(often)
+
+    def enter(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = sent.value
+        for pdf in it:
+            n, bits = _sketches(pdf["norm"])
+            size = pdf["cell"].map(len).to_numpy(np.int64)
+            size[n == 0] = 0
+            if not size.any():
+                continue
+            rec = np.repeat(np.arange(len(pdf)), size)
+            flat = {k: np.concatenate([x for x, m in zip(pdf[k], size) if m]) for k in ("cell", "s", "home", "row")}
+            short = pdf["short"].to_numpy(bool)
+            frequent = often[np.minimum(np.searchsorted(often, flat["cell"]), len(often) - 1)] == flat["cell"] if len(often) else np.zeros(len(rec), bool)
+            twos, of = [], []
+            at = np.flatnonzero(frequent & ~short[rec])
+            for own in np.split(at, np.flatnonzero(np.diff(rec[at])) + 1):
+                c, r = flat["cell"][own], flat["row"][own]
+                a, b = np.nonzero((r[:, None] != r[None, :]) & ((c[:, None] < c[None, :]) | ((c[:, None] == c[None, :]) & (r[:, None] < r[None, :]))))
+                if len(a):
+                    pair = np.unique(_mix(_mix(c[a].view(np.uint64)) + c[b].view(np.uint64)))
+                    twos.append(pair.view(np.int64))
+                    of.append(np.full(len(pair), rec[own[0]]))
+            k = sum(map(len, of))
+            rec = np.concatenate([rec, *of])
+            cid, keep = pdf["cid"].to_numpy(), [x.tobytes() for x in bits]
+            yield pd.DataFrame({"cell": np.concatenate([flat["cell"], *twos]), "s": np.append(flat["s"], np.zeros(k, np.int64)), "home": np.append(flat["home"].astype(bool), np.ones(k, bool)), "needs_short": np.append(frequent, np.zeros(k, bool)), "short": short[rec], "cid": cid[rec], "n": n[rec], "bits": [keep[i] for i in rec]})
+
+    entries = listed.mapInPandas(enter, "cell bigint, s int, home boolean, needs_short boolean, short boolean, cid bigint, n int, bits binary")
+    full = sizes.where(F.col("count") > CELL_ROWS).select("cell", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("parts"))
+    parts = entries.join(small(full), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     met = parts.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = F.when(F.col("parts") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("salt", "other"), F.greatest("salt", "other")))
-    return met.select(own.alias("cell"), "s", "home", "salt", (F.col("salt") != F.col("other")).alias("crossed"), "cid", "n", "bits")
+    return met.select(own.alias("cell"), "s", "home", "salt", (F.col("salt") != F.col("other")).alias("crossed"), "needs_short", "short", "cid", "n", "bits")
 
 
 def cell_pairs(cells: DataFrame, labelled: bool = False) -> DataFrame:
@@ -125,6 +157,7 @@ def cell_pairs(cells: DataFrame, labelled: bool = False) -> DataFrame:
             p, cell, s, cid = p[new], cell[new], s[new], cid[new]
             n, bits = p["n"].to_numpy(np.int64), np.frombuffer(b"".join(p["bits"]), np.uint64).reshape(len(p), BITS // 64)
             salt, crossed, home = p["salt"].to_numpy(), p["crossed"].to_numpy(bool), p["home"].to_numpy(bool)
+            needs, short = p["needs_short"].to_numpy(bool), p["short"].to_numpy(bool)
             label = p["label"].to_numpy() if labelled else cid
             given, us, vs, held = np.zeros(len(p), np.int64), [], [], 0
             i = np.flatnonzero(home)
@@ -135,7 +168,7 @@ def cell_pairs(cells: DataFrame, labelled: bool = False) -> DataFrame:
                     i = i[given[i] <= ALL_PAIRS]
                 if not len(i):
                     break
-                at = i[(label[i] != label[i + d]) & ~(crossed[i] & (salt[i] == salt[i + d]))]
+                at = i[(label[i] != label[i + d]) & ~(crossed[i] & (salt[i] == salt[i + d])) & (~needs[i] | short[i] | short[i + d])]
                 at = at[_may_link(n, bits, at, at + d)]
                 given[at] += 1
                 if not labelled:
@@ -214,8 +247,7 @@ def verified_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     a, b = (one.select(F.col("cid").alias(k), F.col("rows").alias(f"r{k}")) for k in "uv")
     pairs = cut(pairs.join(a, "u").join(b, "v").where(shared_rows(F.col("ru"), F.col("rv"))).select("u", "v"))
     ends = pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
-    need = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
-    t = texts.join(need, "cid", "left_semi").groupBy("cid").agg(F.first("norm").alias("norm"))
+    t = texts.join(small(ends), "cid", "left_semi").groupBy("cid").agg(F.first("norm").alias("norm"))
     a, b = (t.select(F.col("cid").alias(k), F.col("norm").alias(f"n{k}")) for k in "uv")
 
     def check(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
