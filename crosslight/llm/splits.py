@@ -7,7 +7,7 @@ import heapq
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, cut, light_key, state_key, state_light, uniform_hash, dense_in_groups
+from .common import connected_components, cut, dense_in_groups, light_key, slices_for, small, state_key, state_light, uniform_hash
 
 #: Target shares of the splits; they add up to 1.
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -45,7 +45,7 @@ def related_groups(samples: DataFrame) -> DataFrame:
     State files that several lights used link those lights; the graph has lights as nodes, so it is far smaller than
     the table. Repeated rows count as rows; null keys see `keyed`; an empty table gives no rows.
     """
-    k = keyed(samples)
+    k = cut(keyed(samples))  # read four times
     style = majority_style(k)
     pairs = k.where("state is not null").select("state", "light").distinct()
     low = pairs.groupBy("state").agg(F.min("light").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -122,13 +122,14 @@ def assign_splits(groups: DataFrame, proportions: dict[str, float] | None = None
     histogram = [(r["w"], r["count"]) for r in sizes.groupBy("w").count().collect()]
     plan, sums = balance(histogram, bins)
     split = allocate(sums, proportions)
-    rows = [(w, n * bins + i, split[b]) for w, (n, rest) in plan.items() for i, b in enumerate(rest)]
-    extra = spark.createDataFrame(rows, "w bigint, r bigint, s string")
-    full = spark.createDataFrame([(w, n * bins) for w, (n, _) in plan.items()], "w bigint, full bigint")
-    by_bin = F.array(*[F.lit(x) for x in split])
-    ranked = dense_in_groups(sizes.withColumn("h", uniform_hash(F.col("group_light"))).withColumn("__id", F.col("group_light")), ["w"], "h", "r", 64).select("group_light", "w", "r")
-    placed = ranked.join(full, "w").join(extra, ["w", "r"], "left").select("group_light", F.when(F.col("r") < F.col("full"), by_bin[(F.col("r") % bins).cast("int")]).otherwise(F.col("s")).alias("split"))
-    return groups.select("rec_id", "group_light").join(placed, "group_light").select("rec_id", "group_light", "split")
+    names = list(proportions)
+    rows = [(w, n * bins, bytes(names.index(split[b]) for b in rest).hex()) for w, (n, rest) in plan.items()]
+    full = spark.createDataFrame(rows, "w bigint, full bigint, rest string")  # one row of each size, two characters a group
+    by_bin, by_name = F.array(*[F.lit(x) for x in split]), F.array(*[F.lit(x) for x in names])
+    of_rest = F.get(by_name, F.conv(F.substring("rest", (2 * (F.col("r") - F.col("full")) + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    ranked = dense_in_groups(sizes.withColumn("h", uniform_hash(F.col("group_light"))).withColumn("__id", F.col("group_light")), ["w"], "h", "r", slices_for(sum(n for _, n in histogram))).select("group_light", "w", "r")
+    placed = ranked.join(small(full), "w").select("group_light", F.when(F.col("r") < F.col("full"), by_bin[(F.col("r") % bins).cast("int")]).otherwise(of_rest).alias("split"))
+    return groups.select("rec_id", "group_light").join(small(placed), "group_light").select("rec_id", "group_light", "split")
 
 
 def split_report(assigned: DataFrame, proportions: dict[str, float] | None = None) -> DataFrame:

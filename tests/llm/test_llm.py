@@ -69,11 +69,30 @@ def test_targets(spark):
     t = spark.createDataFrame([("s", "bucket", "low", 0.5, 1, 1.0), ("s", "bucket", "high", 0.5, 2, 1.0), ("l", "tl_id", "kx_2", 1.0, 1, 0.5), ("l", "tl_id", "kx_7", 0.0, 0, 0.5)], "target_set string, dimension string, category string, target_share double, min_rows int, draw_share double")
     r = targets.distinct_records(d)
     assert {(x["light"], x["as_of"], x["bucket"]) for x in r.collect()} == {("kx1", "a", "low"), ("kx1", "b", None), ("kx2", "a", "med"), ("kx2", "b", "high")}
-    q = targets.quotas(r, t)
+    r, f = targets.filled_reservoirs(d, t)
+    q = targets.quotas(f, t)
     assert {(x["category"], x["needed"], x["available"], x["exhausted"]) for x in q.collect()} == {("low", 2, 1, True), ("high", 2, 1, True), ("kx_2", 2, 2, False), ("kx_7", 0, 0, False)}
-    s = targets.draw_sample(r, q)
+    s = targets.draw_sample(f, q)
     assert s.count() == 4 and {(x["category"], x["sampled"]) for x in targets.draw_stats(s, q).collect()} == {("low", 1), ("high", 1), ("kx_2", 2), ("kx_7", 0)}
-    assert targets.quotas(targets.distinct_records(d.limit(0)), t).where("available > 0").count() == 0
+    assert {x["target_set"]: (x["total_source"], x["total_sampled"], x["bucket_counts"]) for x in targets.run_statistics(s, r, q).collect()} == {"s": (4, 2, "high=1,low=1"), "l": (4, 2, "high=1,med=1")}
+    assert targets.quotas(targets.filled_reservoirs(d.limit(0), t)[1], t).where("available > 0").count() == 0
+
+
+def test_reservoirs_merge_and_trim_as_one(spark):
+    """The sample is that of the smallest priorities of the whole table, however rows are dealt to tasks, and the scaled
+    draw meets the targets' shares."""
+    rec = spark.range(6000).select(F.col("id").alias("rec_id"), F.concat(F.lit("kx"), F.col("id") % 7).alias("light"), F.col("id").cast("string").alias("as_of"), F.when(F.col("id") % 10 < 6, "low").when(F.col("id") % 10 < 9, "med").when(F.col("id") % 100 < 95, "high").alias("bucket"))
+    t = spark.createDataFrame([("s", "bucket", "low", 0.2, 1, 0.5), ("s", "bucket", "med", 0.5, 1, 0.5), ("s", "bucket", "high", 0.3, 1, 0.5), ("l", "tl_id", "kx_3", 1.0, 5, 0.01)], "target_set string, dimension string, category string, target_share double, min_rows int, draw_share double")
+    got = []
+    for n in (1, 7):
+        f = targets.reservoirs(rec.repartition(n), t, 9000)
+        q = targets.quotas(f, t)
+        got.append({(r["target_set"], r["category"], r["rec_id"]) for r in targets.draw_sample(f, q).collect()})
+    assert got[0] == got[1] and len(got[0]) == 600 + 1500 + 540 + 60
+    pri = rec.where("light = 'kx3'").select("rec_id", targets.uniform_hash(F.col("light"), F.col("as_of"), F.lit(17)).alias("p")).orderBy("p").limit(60)
+    assert {r["rec_id"] for r in pri.collect()} == {i for s, _, i in got[0] if s == "l"}
+    n = {r["category"]: r["count"] for r in targets.draw_sample(f, q, scaled=True).where("target_set = 's'").groupBy("category").count().collect()}
+    assert n == {"low": 360, "med": 900, "high": 540}
 
 
 def similar(a, b):
@@ -135,10 +154,32 @@ def test_truncation(spark):
     assert truncation.judged(truncation.all_texts(r.limit(0), e)).count() == 0
 
 
-def test_alignment():
+def test_alignment(spark):
     words = " ".join(f"word{i}" for i in range(60))
     assert truncation.ends_early(words[:-20], words) and not truncation.ends_early(words, words[:-20]) and not truncation.ends_early(words, words + "  ")
     assert open_delimiters("a (b [c) d") == [] and open_delimiters("（a") == ["（"]
+    rnd = random.Random(8)
+    text = [rnd.choice("abcdefghijklmnop") * 2 + rnd.choice("qrstuvwxyz") + str(rnd.randrange(99)) for _ in range(200)]
+    for share in (0.5, 0.6, 0.7, 0.8, 0.9, 0.95):
+        own = list(text[: int(200 * share)])
+        own[7] = "changed"
+        own.insert(40, "more")
+        own[-1] = "other"
+        assert truncation.ends_early(" ".join(own), " ".join(text)) and not truncation.ends_early(" ".join(text), " ".join(own))
+    assert not truncation.ends_early(" ".join(text[::-1][:100]), " ".join(text)) and not truncation.ends_early("", words) and not truncation.ends_early(words, "")
+
+
+def test_copies_cut_anywhere_are_found_by_alignment(spark):
+    """Notes cut behind a full stop, so that nothing but their whole copy tells."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(3, 8)))
+    sentence = lambda: " ".join(word() for _ in range(6)).capitalize() + "."
+    whole = [[sentence() for _ in range(20)] for _ in range(24)]
+    cuts = [" ".join(t[: 9 + i % 10]) for i, t in enumerate(whole)]
+    rows = [(i, " ".join(t), "s") for i, t in enumerate(whole)] + [(100 + i, t, "s") for i, t in enumerate(cuts)]
+    j = truncation.judged(truncation.all_texts(spark.createDataFrame(rows, "response_id bigint, content string, source string"), spark.createDataFrame([], "result_id bigint, raw_content string, source string")))
+    assert {(r["record_id"], r["cause"]) for r in j.where("cut").collect()} == {(100 + i, "alignment") for i in range(24)}
+    assert {r["cause"]: r["texts"] for r in truncation.cut_causes(j).collect()} == {"alignment": 24}
 
 
 def test_defects(spark):
@@ -169,15 +210,67 @@ def test_automaton_against_brute_force():
         assert want and want <= set(sam.occurrences(s)) and not any(text[end - n + 1 : end + 2] in q and end + 1 < len(text) for q in seqs)
 
 
+def shared_brute(items, text, least, tok):
+    """Covered tokens of each item by stretches of at least `least`, all places tried."""
+    out = {}
+    t = tok(text)
+    for i, p in items:
+        q = tok(p)
+        cover = [False] * len(q)
+        for a in range(len(q)):
+            for b in range(len(t)):
+                n = 0
+                while a + n < len(q) and b + n < len(t) and q[a + n] == t[b + n]:
+                    n += 1
+                if n >= least:
+                    cover[a : a + n] = [True] * n
+        if any(cover):
+            out[i] = sum(cover)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_leakage_against_brute_force(seed):
+    """Items that overlap, hold one another and recur within themselves."""
+    rnd = random.Random(seed)
+    base = [rnd.choice(("ox", "elk", "gnu", "cat")) + str(rnd.randrange(4)) for _ in range(60)]
+    items = []
+    for i in range(12):
+        a = rnd.randrange(40)
+        items.append((i, " ".join(base[a : a + rnd.randrange(9, 20)] + [f"own{i}w{k}" for k in range(rnd.randrange(6))])))
+    auto = leakage.Items(items)
+    for _ in range(25):
+        a = rnd.randrange(50)
+        text = " ".join(["intro"] * rnd.randrange(3) + base[a : a + rnd.randrange(25)] + rnd.choice(items)[1].split()[rnd.randrange(4) :] + ["end"])
+        assert {i: n for i, n, _ in auto.carried(text)} == shared_brute(items, text, 8, lambda s: s.lower().split())
+
+
+def test_leakage_inside_longer_match():
+    b = " ".join(f"w{i}" for i in range(40))
+    a = " ".join(f"w{i}" for i in range(10, 22)) + " own1 own2 own3 own4"
+    assert {i for i, n, size in leakage.Items([(1, a), (2, b)]).carried(b) if 2 * n >= size} == {1, 2}
+
+
 def test_leakage(spark):
     en = "The quick brown fox jumps over the lazy dog near the old keeper's house by the river at noon"
     zh = "靠近岭林东路处德比观众丢掉了八十步与队长一道于枫园东路南进口"
     items = spark.createDataFrame([(1, en, "x"), (2, zh, "x"), (3, None, "x"), (4, "", "x")], "item_id bigint, passage string, text string")
-    docs = spark.createDataFrame([(1, "Intro. " + en.upper().replace(" FOX", "<b> FOX</b>") + " end", 0), (2, "前言。" + zh[:18] + "，" + "中间" + zh[18:], 0), (3, " ".join(en.split()[:9]), 0), (4, None, 0), (5, "", 0), (6, " ".join(en.split()[:7]), 0), (7, en, 0), (7, en, 0)], "doc_id bigint, text string, item_id int")
+    docs = spark.createDataFrame([(1, "Intro. " + en.upper().replace(" FOX", "<b> FOX</b>") + " end", 0), (2, "前言。" + zh[:18] + "，" + "中间" + zh[18:], 0), (3, " ".join(en.split()[:9]), 0), (4, None, 0), (5, "", 0), (6, " ".join(en.split()[:7]), 0), (7, en, 0), (7, en, 0), (8, "王先生 says: " + en + "! And 李女士 agrees.", 0)], "doc_id bigint, text string, item_id int")
     got = sorted((r["doc_id"], r["item_id"]) for r in leakage.leaked(docs, items).collect())
-    assert got == [(1, 1), (2, 2), (7, 1), (7, 1)]
+    assert got == [(1, 1), (2, 2), (7, 1), (7, 1), (8, 1)]
     assert leakage.leaked(docs.limit(0), items).count() == 0 == leakage.leaked(docs, items.limit(0)).count()
-    assert {r["doc_id"] for r in leakage.cleaned(docs, items).collect()} == {1, 2, 7}
+    left = {r["doc_id"]: r["text"] for r in leakage.cleaned(docs, items).collect()}
+    assert left == {1: "Intro.  end", 2: "前言。，中间", 7: "", 8: "王先生 says: ! And 李女士 agrees."}
+
+
+def test_leakage_in_shards(spark, monkeypatch):
+    """One automaton for each item gives the same as one for all, and the spans of all are cut."""
+    items = spark.createDataFrame([(i, " ".join(f"v{i}x{k}" for k in range(12))) for i in range(5)], "item_id bigint, passage string")
+    docs = spark.createDataFrame([(i, f"Start, {p[1]} Middle. {q[1]} é́nd") for i, (p, q) in enumerate(itertools.combinations(items.collect(), 2))], "doc_id bigint, text string")
+    want = sorted(map(tuple, leakage.leaked(docs, items).collect()))
+    monkeypatch.setattr(leakage, "SHARD_TOKENS", 40)
+    assert len(list(leakage.shards(items))) == 5 and sorted(map(tuple, leakage.leaked(docs, items).collect())) == want and len(want) == 20
+    assert {r["text"] for r in leakage.cleaned(docs, items).collect()} == {"Start,  Middle.  é́nd"}
 
 
 def test_mixing(spark):
@@ -186,10 +279,27 @@ def test_mixing(spark):
     counts, plan = mixing.build(docs, t)
     total = counts.agg(F.sum("tokens")).first()[0]
     assert {(r["mix_id"], r["source"]) for r in plan.where("falls_short").collect()} == {("m", "b")}
-    for r in mixing.mix_report(mixing.realise(counts, plan), plan).collect():
+    mix = mixing.realise(counts, plan, block=500)
+    for r in mixing.mix_report(mix, plan).collect():
         assert r["most_copies"] <= r["max_repeats"] and abs(r["mixed"] - r["budget"]) <= 30 and r["budget"] <= round(r["target_share"] * total)
-    assert mixing.entropy(mixing.temperature_weights({"a": 9.0, "b": 1.0}, mixing.bisect_exponent({"a": 9.0, "b": 1.0}, 0.5))) == pytest.approx(0.5, abs=1e-6)
+    at = {}  # positions of a pass are a permutation laid end to end
+    for r in mix.orderBy("position").collect():
+        assert r["block"] == r["position"] // 500 and r["position"] == at.get((r["mix_id"], r["source"]), 0)
+        at[r["mix_id"], r["source"]] = r["position"] + r["tokens"]
     assert mixing.build(docs.limit(0), t)[1].where("budget > 0").count() == 0
+    _, tempered = mixing.build(docs, t, mode="tempered")
+    for r in tempered.where("mix_id = 'm'").collect():
+        assert 0 < r["exponent"] < 1 and r["budget"] <= r["tokens"] * r["max_repeats"] and abs(r["budget"] - r["weight"] * total) <= 1
+
+
+def test_temperature():
+    t = {"a": 9.0, "b": 1.0}
+    w = mixing.temperature_weights(t, mixing.bisect_exponent(t, 0.5))
+    assert mixing.entropy(w) == pytest.approx(0.5, abs=1e-6)
+    assert mixing.temperature_weights(t, 1.0) == pytest.approx({"a": 0.9, "b": 0.1}) and mixing.temperature_weights(t, 0.0, {"a": 0.3, "b": 0.7}) == pytest.approx({"a": 0.3, "b": 0.7})
+    e = mixing.bisect_exponent(t, None, {"a": 1.0, "b": 3.0}, 10.0, {"a": 0.3, "b": 0.7})
+    assert mixing.temperature_weights(t, e, {"a": 0.3, "b": 0.7})["b"] == pytest.approx(0.3, abs=1e-6)
+    assert mixing.temperature_weights({"a": 1.0, "b": 0.0}, 0.5) == {"a": 1.0, "b": 0.0}
 
 
 def test_subjects_held_out():
