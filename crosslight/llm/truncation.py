@@ -147,9 +147,9 @@ def _shingles(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 def band_keys(texts: DataFrame) -> DataFrame:
     """(sig, cid, target): keys of every text of at least five words. BANDS keys of ROWS minima each over the whole
     text; LADDER_BANDS keys of LADDER_ROWS minima over each of its beginnings of 32, 64, 128, ... shingles. All keys
-    are targets but those of texts that alignment may show to end early: by its whole any text that closes no plan and is
-    no whole form (blank, refusal, copy of a prompt), by its longest beginning a note, as an answer that has come to its
-    tags is known to be cut by its form."""
+    are targets but those of notes, by their whole and their longest beginning: alignment may show only these to end
+    early. A text that closes its plan is whole, one that has come to its tags without is cut, whatever copy it has; a
+    copy of a note may be of any kind."""
     def emit(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             pdf = pdf.drop_duplicates("cid")
@@ -160,7 +160,7 @@ def band_keys(texts: DataFrame) -> DataFrame:
             size = np.diff(np.append(start, len(d)))
             cid, out = pdf["cid"].to_numpy()[d[start]], []
             kind = np.array(["closed" if c & 1 else inspect(x)[0] for c, x in zip(pdf["cid"], pdf["text"])], object)[d[start]]
-            settled, answers = ~np.isin(kind, ("note", "answer")), kind != "note"
+            settled = kind != "note"
             levels = [LADDER << k for k in range(40) if LADDER << k <= size.max()]
             having = [np.flatnonzero(size >= n) for n in levels]
             near = [[np.full(len(w), (b + 1) * 7919 + n, np.uint64) for b in range(LADDER_BANDS)] for n, w in zip(levels, having)]
@@ -177,7 +177,7 @@ def band_keys(texts: DataFrame) -> DataFrame:
                             keys[k // LADDER_ROWS] = _mix(keys[k // LADDER_ROWS] * np.uint64(31) + least)
                 out.append(pd.DataFrame({"sig": key.view(np.int64), "cid": cid, "target": settled}))
             for n, w, keys in zip(levels, having, near):
-                out += [pd.DataFrame({"sig": key.view(np.int64), "cid": cid[w], "target": answers[w] | (size[w] >= 2 * n)}) for key in keys]
+                out += [pd.DataFrame({"sig": key.view(np.int64), "cid": cid[w], "target": settled[w] | (size[w] >= 2 * n)}) for key in keys]
             yield pd.concat(out)
 
     return texts.select("cid", "text").mapInPandas(emit, "sig bigint, cid bigint, target boolean")
