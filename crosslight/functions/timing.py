@@ -57,9 +57,11 @@ def time_config(low: Column, high: Column, key: Column) -> Column:
     return F.struct(F.least(lo, hi).alias("min_dur"), F.greatest(lo, hi).alias("max_dur"))
 
 
-def pred_queue(initial: Column, end: Column) -> Column:
-    """The queue at a cycle's end: the first one and what the cycle added, which is never negative."""
-    return initial + F.greatest(F.lit(0), end - initial)
+def pred_queue(initial: Column, end: Column, key: Column | None = None, ratio: float = 0.1) -> Column:
+    """The queue at a cycle's end: the first one and what the cycle added, which is never negative; with a key, noise of
+    that ratio is drawn by it and the result not below 0."""
+    q = initial + F.greatest(F.lit(0), end - initial)
+    return q if key is None else gauss_noise(q.cast("double"), key, ratio)
 
 
 def format_ts(base: Column, seconds: Column) -> Column:

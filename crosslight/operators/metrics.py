@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import text as x
+
 
 def weighted_average(v: Column, w: Column) -> Column:
     """Sum of v*w over sum of w, rows of weight above 0 only; 0 when there are none."""
@@ -71,3 +73,46 @@ def distribution_quality(df: DataFrame, by: list[str], c: str) -> DataFrame:
     """Whether values spread: deviation of .5, 30 % of them distinct, half not zero."""
     g = df.groupBy(*by).agg(F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std_v"), (F.countDistinct(c) / F.count(c)).alias("unique_share"), F.avg(F.when(F.col(c) != 0, 1.0).otherwise(0.0)).alias("nonzero_share"))
     return g.withColumn("passes", (F.col("std_v") >= 0.5) & (F.col("unique_share") >= 0.3) & (F.col("nonzero_share") >= 0.5))
+
+
+def sampling_statistics(df: DataFrame, light: str, bucket: str) -> DataFrame:
+    """(dimension, category, n): records of each light and of each bucket, in one pass of grouping sets; records without
+    one do not count in its dimension."""
+    g = df.groupingSets([(light,), (bucket,)], light, bucket).agg(F.grouping(light).alias("__g"), F.count(F.lit(1)).alias("n"))
+    r = g.select(F.when(F.col("__g") == 0, "tl_id").otherwise("bucket").alias("dimension"), F.when(F.col("__g") == 0, F.col(light).cast("string")).otherwise(F.col(bucket)).alias("category"), "n")
+    return r.where("category is not null")
+
+
+def phase_id_histogram(df: DataFrame, text: str) -> DataFrame:
+    """(phase_id, n): how often each id stands in the texts' JSON."""
+    v = df.select(F.explode(F.regexp_extract_all(text, F.lit('"phase_id": ([0-9]+)'), F.lit(1))).alias("p"))
+    return v.groupBy(F.col("p").cast("bigint").alias("phase_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def scenario_counts(paths: DataFrame, path: str) -> DataFrame:
+    """(scenario, n, converted, fallback): samples of each scenario, and how many of their state files could be made
+    relative."""
+    p = F.coalesce(F.col(path), F.lit(""))
+    ok = x.rel_state_path(p).startswith("outputs/")
+    return paths.groupBy(x.scenario_label(p).alias("scenario")).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("converted"), F.count_if(~ok).alias("fallback"))
+
+
+def by_delay(df: DataFrame, delay: str, name: str) -> DataFrame:
+    """Rows in order of their delay, those without a number last, ties by name: a range sort."""
+    key = F.coalesce(F.expr(f"try_cast(`{delay}` as double)"), F.lit(float("inf")))
+    return df.orderBy(key, name)
+
+
+SUMMARY = ("passed_vehicles", "queue_vehicles", "total_delay")
+
+
+def model_summary(cycles: DataFrame, by: list[str]) -> DataFrame:
+    """The 22 columns of a model's summary (two of `by` among them): rates and response times of its answers, spread of
+    passed and queued vehicles and delay, and the throughput over all seconds (`samples` holds one value a second). All
+    models are one aggregation."""
+    rate = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
+    four = lambda c: [F.coalesce(f(c), F.lit(0)).cast("double").alias(f"{c}_{n}") for n, f in (("avg", F.avg), ("max", F.max), ("min", F.min), ("std", F.stddev_samp))]
+    seconds = F.sum(F.when(F.size("samples") > 0, F.size("samples")))
+    passed = F.sum(F.when(F.size("samples") > 0, F.col("passed_vehicles")))
+    d = cycles.withColumnRenamed("llm_response_time", "response_time")
+    return d.groupBy(*by).agg(rate("format_success").alias("format_success_rate"), rate("constraint_satisfied").alias("constraint_satisfaction_rate"), rate("format_success").alias("phase_order_correct_rate"), *four("response_time"), *[c for m in SUMMARY for c in four(m)], F.coalesce(F.try_divide(passed, seconds), F.lit(0.0)).alias("throughput"))

@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as x, timing as t
-from ..operators import augment, metrics, phases, sampling, traces, validation
-
-Query = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, Query] = {}
-
-
-def query(f: Query) -> Query:
-    REGISTRY[f.__name__] = f
-    return f
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from ..operators import augment, filters, metrics, phases, sampling, traces, validation
+from .registry import REGISTRY as REGISTRY, query, table
 
 
 def phase_view(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +26,13 @@ def details(spark: SparkSession, d: str, run: bool = False) -> DataFrame:
     return validation.phase_details(v)
 
 
+def statuses(spark: SparkSession, d: str) -> DataFrame:
+    """The fact table by run; orders of status P count as badly formed."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderpriority").alias("run"), (F.col("o_orderstatus") != "P").alias("format_ok"))
+    v = validation.phase_details(phase_view(spark, d).join(o, "sample_id"))
+    return validation.status_details(v, ["run"], F.col("format_ok"))
+
+
 @query
 def weighted_metrics(s: SparkSession, d: str) -> DataFrame:
     li = table(s, d, "lineitem")
@@ -118,29 +112,34 @@ def constraint_flags(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def failure_buckets(s: SparkSession, d: str) -> DataFrame:
-    return validation.failure_buckets(details(s, d, True), ["run"])
+    return validation.failure_buckets(statuses(s, d), ["run"])
 
 
 @query
-def validation_summary(s: SparkSession, d: str) -> DataFrame:
-    v = validation.validation_summary(details(s, d, True), ["run"])
+def run_summary(s: SparkSession, d: str) -> DataFrame:
+    v = validation.run_summary(details(s, d, True), ["run"])
     return v.select("run", "samples", *[F.round(c, 6).alias(c) for c in ("constraint_rate", "match_rate", "mean_dev", "median_dev", "max_dev")], "passes")
 
 
 @query
 def analysis_summary(s: SparkSession, d: str) -> DataFrame:
-    return validation.analysis_summary(details(s, d, True), ["run"])
+    return validation.analysis_summary(statuses(s, d), ["run"])
 
 
 @query
 def deviation_matrix(s: SparkSession, d: str) -> DataFrame:
-    return validation.deviation_matrix(details(s, d, True), "run")
+    return validation.deviation_matrix(statuses(s, d), "run")
+
+
+@query
+def clip_summary(s: SparkSession, d: str) -> DataFrame:
+    return validation.clip_summary(statuses(s, d), "run")
 
 
 @query
 def threshold_alignment(s: SparkSession, d: str) -> DataFrame:
-    v = validation.threshold_alignment(details(s, d, True), "run")
-    return v.select("run", "hard_fail", "hard_pass", F.round("near_share", 6).alias("near_share"), F.round("mean_closeness", 6).alias("mean_closeness"))
+    v = validation.threshold_alignment(statuses(s, d), "run")
+    return v.select("run", "hard_fail", "hard_pass", F.round("near_share", 6).alias("near_share"), F.round("mean_closeness", 6).alias("mean_closeness"), "hard_fail_examples", "hard_pass_examples")
 
 
 @query
@@ -151,20 +150,13 @@ def run_comparison(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def failure_examples(s: SparkSession, d: str) -> DataFrame:
-    return validation.first_examples(details(s, d, True), ["run"])
-
-
-@query
-def low_traffic_filter(s: SparkSession, d: str) -> DataFrame:
-    g = phase_view(s, d).groupBy("sample_id").agg(F.coalesce(F.sum("pred_saturation"), F.lit(0.0)).alias("sat"))
-    return g.where(F.col("sat") < 0.5).select("sample_id", F.round("sat", 6).alias("sat"))
+    return validation.failure_examples(statuses(s, d), ["run"], 5)
 
 
 @query
 def length_quantile_filter(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("len"))
-    q = docs.agg(F.percentile("len", F.lit(0.9)).alias("q"))
-    return docs.crossJoin(F.broadcast(q)).where("len <= q").select("doc_id", "len")
+    return filters.below_quantile(docs, "len", 0.9)
 
 
 @query
@@ -175,8 +167,14 @@ def stratified_quota(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def stratified_sample(s: SparkSession, d: str) -> DataFrame:
+    """Rows of each stratum in the sample; as quotas add up to at least 500, what is trimmed depends on hashes."""
     g = sampling.stratified_sample(table(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_orderpriority", "o_orderstatus"], "o_orderkey", 500)
-    return g.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("keys"), F.countDistinct("o_orderpriority").alias("priorities"))
+    q = sampling.strata_quotas(table(s, d, "orders"), ["o_orderpriority", "o_orderstatus"], 500)
+    n = g.groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("keys"))
+    off = q.agg(F.abs(F.sum("quota") - 500).alias("off"))
+    j = q.join(n, ["o_orderpriority", "o_orderstatus"], "left").crossJoin(F.broadcast(off))
+    near = F.abs(F.coalesce("n", F.lit(0)) - F.col("quota")) <= F.col("off")
+    return j.select("o_orderpriority", "o_orderstatus", "quota", near.alias("near_quota"), (F.coalesce("n", F.lit(0)) == F.coalesce("keys", F.lit(0))).alias("without_repeats"))
 
 
 @query
@@ -222,21 +220,22 @@ def start_end_queue(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def as_of_value(s: SparkSession, d: str) -> DataFrame:
+    """Each view with the latest value of its user's purchases at or before it; all events of both kinds."""
     e = table(s, d, "events")
-    l_, r = e.where("event_id % 2 = 0").select("user_id", "ts"), e.where("event_id % 2 = 1").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    l_, r = e.where("event_type = 'view'").select("user_id", "ts"), e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
     return traces.as_of(l_, r, "user_id", "ts", "value").select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.round("value", 6).alias("value"))
 
 
 @query
 def baseline_semi(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
-    return table(s, d, "orders").join(c, "o_custkey", "left_semi").select("o_orderkey")
+    return filters.having(table(s, d, "orders").select("o_orderkey", "o_custkey"), c, "o_custkey").select("o_orderkey")
 
 
 @query
 def resume_anti(s: SparkSession, d: str) -> DataFrame:
-    done = table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return table(s, d, "customer").join(done, "c_custkey", "left_anti").select("c_custkey")
+    done = augment.completed_ids(table(s, d, "orders").where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    return filters.lacking(table(s, d, "customer").select("c_custkey"), done, "c_custkey")
 
 
 @query
@@ -253,12 +252,6 @@ def counterfactual_grid(s: SparkSession, d: str) -> DataFrame:
     return augment.counterfactual_grid(table(s, d, "nation").select("n_nationkey")).select("n_nationkey", F.col("duration").cast("bigint").alias("duration"))
 
 
-@query
-def vehicles_left(s: SparkSession, d: str) -> DataFrame:
-    g = table(s, d, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.when(F.col("l_linenumber") == 1, F.col("l_partkey"))).alias("a"), F.collect_set(F.when(F.col("l_linenumber") == 2, F.col("l_partkey"))).alias("b"))
-    return g.select("l_suppkey", F.size(F.array_except("a", "b")).cast("bigint").alias("passed"))
-
-
 @query
 def conflict_pairs(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 5).alias("lane"))
@@ -267,15 +260,10 @@ def conflict_pairs(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def greedy_mutex(s: SparkSession, d: str) -> DataFrame:
+    """Lights whose choice tosses no coin, as coins cannot be drawn alike elsewhere."""
     v = table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("tl_id"), F.col("l_linenumber").alias("pos"), F.col("l_linenumber").alias("phase_index"), F.array_distinct(F.array((F.col("l_suppkey") % 5).cast("string"), (F.col("l_partkey") % 5).cast("string"))).alias("green_lanes"))
-    return phases.valid_lights(phases.greedy_mutex(v)).select("tl_id", F.array_join("kept", ",").alias("kept"))
-
-
-@query
-def comparison_sort(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "supplier").select("s_name", F.when(F.col("s_suppkey") % 4 == 0, "n/a").otherwise(F.col("s_acctbal").cast("string")).alias("delay"))
-    key = F.coalesce(F.expr("try_cast(delay as double)"), F.lit(float("inf")))
-    return v.select("s_name", F.row_number().over(W.orderBy(key, "s_name")).cast("bigint").alias("place"))
+    kept = phases.valid_lights(phases.greedy_mutex(v).where("not tossed"))
+    return kept.select("tl_id", F.array_join("kept", ",").alias("kept"))
 
 
 @query
@@ -284,19 +272,6 @@ def format_scores(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "api_responses").select("response_id", x.score_format_approx(c).alias("approx"), F.round(x.score_think_length(c), 6).alias("think"), x.score_format_exact(c).alias("exact"))
 
 
-@query
-def parse_output(s: SparkSession, d: str) -> DataFrame:
-    p = x.plan_parse(x.solution_text(F.col("raw_content")))
-    r = table(s, d, "teacher_results").select("result_id", F.length(x.think_text(F.col("raw_content"))).cast("bigint").alias("think_length"), p.alias("p"))
-    return r.select("result_id", "think_length", "p.is_list", F.when(F.col("p.is_list"), F.size("p.elems")).cast("bigint").alias("n"))
-
-
-@query
-def plan_constraints(s: SparkSession, d: str) -> DataFrame:
-    j = table(s, d, "teacher_results").select("result_id", "rec_id", "solution").join(table(s, d, "train_samples").select("rec_id", "prediction.phase_waits"), "rec_id")
-    return j.select("result_id", F.coalesce(x.plan_error(F.col("solution"), F.col("phase_waits")), F.lit("none")).alias("error"), F.round(x.score_constraints(F.col("solution"), F.col("phase_waits")), 6).alias("score"))
-
-
 @query
 def unwrap_response(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "api_responses").where("content is not null").select("response_id", F.length(x.unwrap_response(F.col("content"))).cast("bigint").alias("n"))
@@ -311,19 +286,7 @@ def state_paths(s: SparkSession, d: str) -> DataFrame:
 @query
 def saturation_buckets(s: SparkSession, d: str) -> DataFrame:
     g = phase_view(s, d).groupBy("sample_id").agg(F.avg("pred_saturation").alias("m")).select((F.col("sample_id") % 10).alias("light"), t.saturation_bucket(F.col("m")).alias("bucket"))
-    r = g.groupingSets([("light",), ("bucket",)], "light", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    return r.select(F.coalesce(F.col("light").cast("string"), F.col("bucket")).alias("category"), "n")
-
-
-@query
-def props_parse(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query
-def phase_id_histogram(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "train_samples").select(F.explode(F.expr("regexp_extract_all(prompt, '\"phase_id\": ([0-9]+)', 1)")).alias("p"))
-    return v.groupBy(F.col("p").cast("bigint").alias("phase_id")).agg(F.count(F.lit(1)).alias("n"))
+    return metrics.sampling_statistics(g, "light", "bucket").select("category", "n")
 
 
 @query
@@ -333,19 +296,6 @@ def congestion(s: SparkSession, d: str) -> DataFrame:
     return h.select("hour", F.round(i, 6).alias("idx"), t.congestion_level(F.round(i, 6)).alias("level"))
 
 
-@query
-def intersection_kpis(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("step"), (F.col("l_quantity") / 50).alias("saturation"), F.col("l_quantity").alias("queue"), F.lit(1).alias("passed"))
-    k = traces.kpis(v, ["l_suppkey"], "step")
-    return k.select("l_suppkey", *[F.round(c, 4).alias(c) for c in k.columns[1:-1]], "throughput")
-
-
-@query
-def net_state_snapshot(s: SparkSession, d: str) -> DataFrame:
-    r = table(s, d, "supplier").rollup("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total"))
-    return r.select(F.coalesce(F.col("s_nationkey").cast("string"), F.lit("all")).alias("light"), "n", "total")
-
-
 @query
 def tumbling_windows(s: SparkSession, d: str) -> DataFrame:
     w = F.window(F.col("ts").cast("timestamp"), "1 hour")
@@ -355,21 +305,20 @@ def tumbling_windows(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def synthetic_samples(s: SparkSession, d: str) -> DataFrame:
-    v = augment.explode_phases(augment.synthesize(s, 5000), "sample_id", "phase_waits")
-    return v.agg(F.count(F.lit(1)).alias("phases"), F.countDistinct("sample_id").alias("samples"), F.min("pred_saturation").alias("lo"), F.max("pred_saturation").alias("hi"))
+    """Whether the synthetic phases keep their bounds, and how the saturation ranges are met, in twentieths."""
+    v = augment.explode_phases(augment.synthesize(s, 20000), "sample_id", "phase_waits")
+    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)) * 20, 0).alias
+    p = F.col("pred_saturation")
+    inside = F.min(F.col("min_green").between(5, 60) & F.col("max_green").between(15, 140) & (F.col("max_green") - F.col("min_green")).between(10, 80) & F.col("capacity").between(15, 60) & p.between(0, 2.5))
+    return v.agg(F.countDistinct("sample_id").alias("samples"), inside.alias("inside"), share(p < 0.2)("lowest"), share((p >= 0.2) & (p < 0.6))("low"), share((p >= 0.6) & (p < 1.0))("high"), share(p >= 1.0)("above"))
 
 
 @query
 def diversified_samples(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "train_samples").select("rec_id", augment.diversify(F.col("prediction.phase_waits"), F.col("rec_id")).alias("w"))
-    return augment.explode_phases(v, "rec_id", "w")
-
-
-@query
-def sft_records(s: SparkSession, d: str) -> DataFrame:
-    j = table(s, d, "teacher_results").select("rec_id", "status", "think_text", "solution").join(table(s, d, "train_samples").select("rec_id", "prompt"), "rec_id")
-    r = augment.assemble(j, "Time the signals.")
-    return r.select(F.size("messages").alias("n"), F.length(x.chat_render(F.col("messages"))).alias("chars"))
+    """Every variant's phases with what must hold for it: as many as the sample's, limits and capacity in bounds."""
+    v = table(s, d, "train_samples").select("rec_id", F.col("prediction.phase_waits").alias("o"), augment.diversify(F.col("prediction.phase_waits"), F.col("rec_id")).alias("w"))
+    ok = F.forall("w", lambda w: (w["min_green"] >= 5) & (w["max_green"] <= 150) & (w["min_green"] <= w["max_green"]) & (w["capacity"] >= 15) & (w["pred_saturation"] >= 0) & (F.abs(w["pred_wait"] - w["pred_saturation"] * w["capacity"]) <= 0.0051))
+    return v.select("rec_id", F.size("w").cast("bigint").alias("n"), ok.alias("inside"))
 
 
 @query
