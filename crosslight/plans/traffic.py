@@ -181,12 +181,12 @@ def net_stats(s: SparkSession, d: str) -> DataFrame:
     return phases.net_stats(li, kept)
 
 
-@checked_by("""select o_orderkey, least(60, greatest(15, 15 * n))::bigint capacity, greatest(15, 15 * n)::bigint uncapped, round(p / (15 * n), 6) saturation, greatest(0, ceil(p / 7))::bigint steps, strftime(timestamp '2026-03-05 00:00:00' + to_seconds((o_orderkey % 90000)::bigint), '%Y-%m-%d %H:%M:%S') "at",
+@checked_by("""select o_orderkey, least(60, greatest(15, 15 * n))::bigint capacity, greatest(15, 15 * n)::bigint uncapped, round(p / (15 * n), 8) saturation, greatest(0, ceil(p / 7))::bigint steps, strftime(timestamp '2026-03-05 00:00:00' + to_seconds((o_orderkey % 90000)::bigint), '%Y-%m-%d %H:%M:%S') "at",
  '2026-' || lpad(((o_orderkey % 300 + 1) // 28 + 1)::varchar, 2, '0') || '-' || lpad(((o_orderkey % 300 + 1) % 28 + 1)::varchar, 2, '0') "day", round(p + greatest(0, n * 100 - p), 5) pred_queue from (select o_orderkey, o_custkey % 6 + 1 n, o_totalprice / 1000 p from orders)""")
 def timing_expressions(s: SparkSession, d: str) -> DataFrame:
     n, p = (F.col("o_custkey") % 6 + 1).cast("int"), F.col("o_totalprice") / 1000
     lanes = F.array_repeat(F.lit("lane"), n)
-    return table(s, d, "orders").select("o_orderkey", t.estimate_capacity(lanes).cast("bigint").alias("capacity"), t.estimate_capacity(lanes, False).cast("bigint").alias("uncapped"), t.saturation(p, n * 15, 6).alias("saturation"), t.seconds_to_steps(p, F.lit(7.0)).alias("steps"), t.format_ts(F.lit("2026-03-05 00:00:00"), F.col("o_orderkey") % 90000).alias("at"), t.scenario_date(F.col("o_orderkey") % 300 + 1).alias("day"), F.round(t.pred_queue(p, n * 100), 5).alias("pred_queue"))
+    return table(s, d, "orders").select("o_orderkey", t.estimate_capacity(lanes).cast("bigint").alias("capacity"), t.estimate_capacity(lanes, False).cast("bigint").alias("uncapped"), t.saturation(p, n * 15, 8).alias("saturation"), t.seconds_to_steps(p, F.lit(7.0)).alias("steps"), t.format_ts(F.lit("2026-03-05 00:00:00"), F.col("o_orderkey") % 90000).alias("at"), t.scenario_date(F.col("o_orderkey") % 300 + 1).alias("day"), F.round(t.pred_queue(p, n * 100), 5).alias("pred_queue"))
 
 
 @checked_by("select count(*) n, true noise_in_bounds, true centred, true greens_in_bounds, true durations_in_bounds, true queue_not_negative from orders")

@@ -41,6 +41,12 @@ def session_kpis(stream: DataFrame, gap: str, key: str = "user_id", late: str =
     return g.select(F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), key, "n")
 
 
+def _keep(state: GroupState, latest: pd.Timestamp, keep_ms: int) -> None:
+    """Lets a key's state go when the watermark is `keep_ms` past its latest row. (A timeout by the clock would keep a
+    drained stream running.)"""
+    state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
+
+
 def boundaries(phase: np.ndarray, last: str, first_green: str, reset: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(is boundary, counts since the last reset) of a light's steps in order, `last` being the phase before them. A reset
     row forgets the phase before it, and counts begin anew."""
@@ -55,10 +61,10 @@ def boundaries(phase: np.ndarray, last: str, first_green: str, reset: np.ndarray
     return hit, total
 
 
-def detect_cycles(stream: DataFrame, key: str, phase: str, first_green: str, reset: str | None = None, keep_ms: int = DAY_MS) -> DataFrame:
+def detect_cycles(stream: DataFrame, key: str, phase: str, first_green: str, reset: str | None = None, keep_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
     """(key, event_id, cycle_count) at each step a light's phase becomes its first green one. State is the last phase and
     the count; steps of a batch are taken in order of time, as vectors. A row with `reset` true starts the light anew. A
-    light that is silent for `keep_ms` leaves the state."""
+    light that is silent for `keep_ms` leaves the state; steps later than `late` are dropped."""
     def advance(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -71,13 +77,13 @@ def detect_cycles(stream: DataFrame, key: str, phase: str, first_green: str, res
         carried = n if again is None else np.where(np.maximum.accumulate(again), 0, n)
         counts = total + carried
         state.update((str(p[-1]), int(counts[-1])))
-        state.setTimeoutDuration(keep_ms)
+        _keep(state, pdf["ts"].iloc[-1], keep_ms)
         yield pd.DataFrame({key: int(k[0]), "event_id": pdf["event_id"].to_numpy()[hit], "cycle_count": counts[hit]})
 
-    return stream.groupBy(key).applyInPandasWithState(advance, f"{key} bigint, event_id bigint, cycle_count bigint", "last string, n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark("ts", late).groupBy(key).applyInPandasWithState(advance, f"{key} bigint, event_id bigint, cycle_count bigint", "last string, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def last_values(stream: DataFrame, key: str, k: int = 20, keep_ms: int = DAY_MS) -> DataFrame:
+def last_values(stream: DataFrame, key: str, k: int = 20, keep_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
     """(key, event_ids): the last k events of each key in order of time, as far as it has come; state holds k numbers and
     leaves after `keep_ms` of silence. For update mode."""
     def push(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -87,10 +93,10 @@ def last_values(stream: DataFrame, key: str, k: int = 20, keep_ms: int = DAY_MS)
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"]).tail(k)
         held = (state.get[0].split(",") if state.exists and state.get[0] else []) + [str(e) for e in pdf["event_id"]]
         state.update((",".join(held[-k:]),))
-        state.setTimeoutDuration(keep_ms)
+        _keep(state, pdf["ts"].iloc[-1], keep_ms)
         yield pd.DataFrame({key: [str(name[0])], "event_ids": [",".join(held[-k:])]})
 
-    return stream.groupBy(key).applyInPandasWithState(push, f"{key} string, event_ids string", "held string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark("ts", late).groupBy(key).applyInPandasWithState(push, f"{key} string, event_ids string", "held string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def retained(stream: DataFrame, id_: str, hours: int = 24) -> DataFrame:

@@ -57,17 +57,13 @@ def test_output_parsing(spark):
     assert tuple(r) == ("ABC", "[]", 3.0, None, 1.5)
 
 
-def test_plan_error(spark):
-    w = "array(named_struct('phase_id',0,'min_green',10,'max_green',60), named_struct('phase_id',1,'min_green',10,'max_green',60))"
-    plan = lambda *p: F.expr("array(" + ",".join(f"named_struct('phase_id',{i},'final',{f})" for i, f in p) + ")")
-    got = [one(spark, e=x.plan_error(plan(*p), F.expr(w)))["e"] for p in ([(0, 10), (1, 60)], [(0, 10)], [(1, 10), (0, 10)], [(0, "cast(null as int)"), (1, 10)], [(0, 80), (1, 10)])]
-    assert got == [None, "length", "order", "whole number", "range"]
-
-
 def test_details_and_buckets(spark):
-    d = spark.createDataFrame([(1, 0, 0.8, 10, 50, 40), (1, 1, 0.5, 10, 50, 90), (2, 0, 0.5, 10, 50, None), (3, 0, 0.5, 10, 50, 25)], "sample_id int, phase_id int, pred_saturation double, min_green int, max_green int, final int").withColumn("run", F.lit("r"))
-    r = validation.failure_buckets(validation.phase_details(d), ["run"]).first().asDict()
-    assert r == {"run": "r", "samples": 3, "constraint_failure": 2, "saturation_match": 1, "saturation_mismatch": 0}
+    d = spark.createDataFrame([(1, 0, 0.8, 10, 50, 40), (1, 1, 0.5, 10, 50, 90), (2, 0, 0.5, 10, 50, None), (3, 0, 0.5, 10, 50, 25), (4, 0, 0.1, 10, 50, 10), (4, 1, None, 10, 50, 30)], "sample_id int, phase_id int, pred_saturation double, min_green int, max_green int, final int").withColumn("run", F.lit("r"))
+    v = validation.phase_details(d)
+    assert {(r["sample_id"], r["phase_id"]) for r in v.where("is_clip").collect()} == {(4, 0), (4, 1)}
+    s = validation.status_details(v, ["run"], F.col("sample_id") != 3)
+    assert validation.failure_buckets(s, ["run"]).first().asDict() == {"run": "r", "format_failure": 1, "constraint_failure": 2, "saturation_mismatch": 1, "saturation_match": 1}
+    assert s.count() == 5 and validation.status_details(v.limit(0), ["run"]).count() == 0
 
 
 def test_run_checks(spark):
@@ -87,7 +83,8 @@ def test_cycles_and_mutex(spark):
     s = spark.createDataFrame([("a", i, p) for i, p in enumerate([2, 0, 1, 2, 0, 0, 1])], "tl string, step int, phase int")
     assert [r["cycle_count"] for r in traces.cycle_boundaries(s, "tl", ["step"], "phase", 0).orderBy("step").collect()] == [0, 1, 1, 1, 2, 2, 2]
     p = spark.createDataFrame([("n", 0, 0, ["a"]), ("n", 1, 2, ["b"]), ("n", 2, 4, ["b", "c"]), ("n", 3, 6, ["c", "b", "d"]), ("n", 4, 8, ["a", "z"])], "tl_id string, pos int, phase_index int, green_lanes array<string>")
-    assert phases.greedy_mutex(p).first()["kept"] == [8, 6]
+    r = phases.greedy_mutex(p).first()
+    assert r["kept"] == [8, 6] and not r["tossed"]
 
 
 def test_network_and_logs(spark, tmp_path):
@@ -103,11 +100,95 @@ def test_network_and_logs(spark, tmp_path):
 
 def test_augment(spark):
     d = augment.explode_phases(augment.synthesize(spark, 300), "sample_id", "phase_waits")
-    assert d.where("min_green > max_green or pred_saturation < 0 or pred_saturation > 1.5").count() == 0
+    assert d.where("min_green > max_green or pred_saturation < 0 or pred_saturation > 2.5 or max_green > 150").count() == 0
     a = spark.createDataFrame([(1, 0, "bad", False, False), (1, 1, "ok", True, False), (2, 0, "x", False, True), (3, 0, "y", False, False)], "id int, attempt int, content string, valid boolean, failed boolean")
     assert [(r["id"], r["status"]) for r in augment.first_valid_attempt(a).orderBy("id").collect()] == [(1, "success"), (2, "api_error"), (3, "constraint_failed")]
 
 
+def test_perturbations_are_independent_and_in_proportion(spark):
+    k = F.col("id")
+    d = spark.range(20000).select(augment.perturb_green(F.lit(30), F.lit(90), k).alias("g"), augment.perturb_saturation(F.lit(0.9), k).alias("s"), augment.diversify(F.expr("array(named_struct('phase_id',0,'pred_saturation',0.9D,'min_green',30,'max_green',90,'capacity',30), named_struct('phase_id',7,'pred_saturation',null,'min_green',30,'max_green',90,'capacity',30))"), k).alias("w"))
+    r = d.agg(F.min("g.min_green").alias("a"), F.max("g.max_green").alias("b"), F.min(F.col("g.max_green") > 0).alias("c"), F.avg((F.col("g.max_green") - F.col("g.min_green")).cast("double")).alias("m"), F.avg((F.col("s") < 0.35).cast("double")).alias("low"), F.corr(F.col("g.min_green").cast("double"), F.col("s")).alias("r"), F.countDistinct(F.col("w")[0]["phase_id"]).alias("ids"), F.min(F.col("w")[1]["phase_id"]).alias("lo"), F.max(F.col("w")[1]["phase_id"]).alias("hi")).first()
+    assert r["a"] >= 5 and r["b"] <= 150 and abs(r["low"] - (0.2 * 0.175 + 0.2)) < 0.015 and abs(r["r"]) < 0.03
+    assert r["ids"] == 6 and (r["lo"], r["hi"]) == (8, 12)
+
+
+def test_filters_and_joins(spark):
+    from crosslight.operators import filters, joins
+
+    w = "array<struct<pred_saturation:double>>"
+    d = spark.createDataFrame([(1, [(0.05,), (0.02,)]), (2, [(0.5,)]), (3, [(0.5,), (None,)]), (4, None), (5, []), (6, [(float("nan"),)])], f"id int, w {w}")
+    assert {r["id"] for r in d.where(filters.low_traffic(F.col("w"))).collect()} == {1, 3, 4, 5, 6}
+    with pytest.raises(ValueError, match="unknown: z"):
+        filters.select_named(spark.createDataFrame([("a",)], "n string"), "n", ["a", "z"])
+    with pytest.raises(ValueError, match="fewer"):
+        filters.integrity_gates({"t": spark.range(3)}, 10)
+    with pytest.raises(ValueError, match="weights"):
+        filters.integrity_gates({}, 10, {"a": 0.5})
+    with pytest.raises(ValueError, match="indices"):
+        joins.zip_by_index(spark.range(3), spark.range(4), "id")
+    n = joins.numbered(spark.range(1000).repartition(7), ["id"], "i")
+    assert n.where("i <> id").count() == 0 and n.count() == 1000 and joins.numbered(spark.range(0), ["id"], "i").count() == 0
+    assert sampling.bootstrap_sample(spark.range(0), "id", 5).count() == 0 and sampling.bootstrap_sample(spark.range(3), "id", 50).groupBy("id").count().count() == 3
+
+
+def test_vehicles_and_traces(spark):
+    t = spark.createDataFrame([("a", 1, "l", 2, 1.0, ["x", "y"]), ("a", 1, "m", 0, 1.0, ["z"]), ("a", 2, "l", 1, 2.0, ["y", "q"]), ("b", 5, "l", 0, 0.0, None), ("c", 1, "l", 1, 1.0, []), ("c", 2, "l", 3, 1.0, ["k"])], "tl string, step int, lane_id string, halting int, waiting double, vehicle_ids array<string>")
+    got = {r["tl"]: (r["passed"], r["avg_queue"], r["total_delay"], r["duration"]) for r in traces.cycle_metrics(t, ["tl"]).collect()}
+    assert got == {"a": (2, 1.5, 4.0, 2), "b": (0, 0.0, 0.0, 1), "c": (0, 2.0, 2.0, 2)}
+    assert {r["tl"]: (r["passed"], r["queue"]) for r in traces.plan_outcome(t, ["tl"]).collect()} == {"a": (2, 1), "b": (0, 0), "c": (0, 3)}
+    assert traces.cycle_metrics(t.limit(0), ["tl"]).count() == 0
+
+
+def test_cycle_counts_with_resets():
+    import numpy as np
+
+    p = np.array(["b", "a", "b", "a", "b", "a"], object)
+    hit, total = windows.boundaries(p, "", "a")
+    assert list(total) == [0, 1, 1, 2, 2, 3] and list(np.flatnonzero(hit)) == [1, 3, 5]
+    hit, total = windows.boundaries(p, "b", "a", np.array([False, False, False, True, False, False]))
+    assert list(np.flatnonzero(hit)) == [1, 5] and list(total) == [0, 1, 1, 0, 0, 1]
+
+
+def test_configs_and_reports(spark, tmp_path):
+    assert readers.load_config(str(tmp_path / "none.json")) == readers.BenchmarkConfig()
+    (tmp_path / "c.json").write_text('{"simulation": {"cycle_duration": 30}, "logging": {"level": "debug"}}')
+    c = readers.load_config(str(tmp_path / "c.json"))
+    assert (c.cycle_duration, c.log_level, c.warmup_seconds) == (30, "debug", 300)
+    (tmp_path / "c.json").write_text('{"simulation": {"cycle_duration": 0, "warmup_seconds": 9999}}')
+    with pytest.raises(ValueError, match="cycle_duration, simulation_seconds"):
+        readers.load_config(str(tmp_path / "c.json"))
+    (tmp_path / "m.json").write_text('{"models": ["a", {"name": "b", "structured_output": false}]}')
+    assert readers.load_models(str(tmp_path / "m.json")) == [("a", True), ("b", False)]
+    (tmp_path / "s.sumocfg").write_text('<configuration><input><net-file value="n/x.net.xml"/><route-files value="a.xml, b.xml"/></input><time><end value="900"/></time></configuration>')
+    assert readers.network_path(str(tmp_path / "s.sumocfg")).endswith("/n/x.net.xml") and readers.simulation_end(str(tmp_path / "s.sumocfg")) == 900
+    out = readers.rewritten_config(str(tmp_path / "s.sumocfg"), str(tmp_path / "t.sumocfg"), end=60)
+    assert readers.simulation_end(out) == 60 and readers.network_path(out) == readers.network_path(str(tmp_path / "s.sumocfg"))
+    assert sinks.report(spark.range(2500), "T").count("|\n") == 2502
+    with pytest.raises(ValueError, match="more than 10"):
+        sinks.report(spark.range(11), "T", 10)
+
+
+def test_results_of_any_columns(spark, tmp_path):
+    for name, text in {"r1/a.csv": 'x,model,avg_delay\n1,"m, one",2.5\n2,m2,\n', "r2/b.csv": "avg_delay,model\n7,m3\n", "r2/summary.csv": "model\nno\n", "r3/c.csv": "model\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    r = readers.result_csvs(spark, str(tmp_path))
+    assert sorted((x["model"], x["avg_delay"], x["throughput"]) for x in r.collect()) == [("m, one", "2.5", ""), ("m2", "", ""), ("m3", "7", "")]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from crosslight import scratch
+
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://x:7077", getCheckpointDir=lambda: None, getConf=lambda: conf))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.folder(far)
+    assert scratch.folder(spark)
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
