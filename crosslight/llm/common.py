@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..scratch import cut as cut
 from ..shipping import ship
 
 FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
@@ -18,18 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names. A folder of our own only on a local master, where all tasks
-    share it; on a cluster a missing setting is an error."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="crosslight-ckpt-"))
-    return df.checkpoint(True)
-
-
 #: A side of at most so many rows of a few numbers or short strings each is broadcast; some 20 MB.
 BROADCAST_ROWS = 500_000
 

@@ -134,16 +134,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of those queries that it can express. The splits, sampled rows, alignments, near-duplicates, automata, token
-    counts and language models are tested against brute force in tests/llm instead."""
+    """SQL of those queries that it can express on whole tables. The splits, sampled rows, alignments, near-duplicates,
+    automata, token counts and language models are tested against brute force in tests/llm instead."""
     wide = "".join(chr(0xFF01 + i) for i in range(94)).replace("'", "''") + "　"
     half = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''") + " "
     key = lambda c: f"nullif(regexp_replace(regexp_replace(lower(translate({c}, '{wide}', '{half}')), '^[^a-z0-9]*[a-z]+:', ''), '[^a-z0-9]', '', 'g'), '')"
     named = "nullif(regexp_extract(regexp_replace(regexp_replace(lower(state_file), '\\s+$', ''), '(\\.xml)?(\\.gz)?$', ''), 'state_[0-9-]+_t[0-9-]+_(.+)$', 1), '')"
-    return {
-        "p5_found": f"""with r as (select rec_id, coalesce({key("metadata.tl_id")}, {key(named)}) light, prediction.as_of at_, list_avg(list_filter(list_transform(prediction.phase_waits, lambda w: w.pred_saturation), lambda s: s is not null and not isnan(s) and s >= 0)) m from train_samples),
+    counted = f"""with r as (select rec_id, coalesce({key("metadata.tl_id")}, {key(named)}) light, prediction.as_of at_, list_avg(list_filter(list_transform(prediction.phase_waits, lambda w: w.pred_saturation), lambda s: s is not null and not isnan(s) and s >= 0)) m from train_samples),
  o as (select light, at_, arg_min(coalesce(m, -1), rec_id) m from r group by 1, 2), n as (select count(*) n from o), b as (select light, case when m < 0 then null when m < 0.3::double then 'low' when m < 0.7::double then 'med' else 'high' end bucket from o),
- h as (select 'tl_id' dimension, light k, count(*) c from b where light is not null group by 2 union all select 'bucket', bucket, count(*) from b where bucket is not null group by 2)
- select target_set, category from sampling_targets t cross join n left join h on h.dimension = t.dimension and h.k = case when t.dimension = 'tl_id' then {key("category")} else category end
- where coalesce(c, 0) < greatest(min_rows, floor(target_share * floor(draw_share * n.n + 1e-9) + 1e-9))"""
+ h as (select 'tl_id' dimension, light k, count(*) c from b where light is not null group by 2 union all select 'bucket', bucket, count(*) from b where bucket is not null group by 2),
+ t as (select target_set, category, target_share, coalesce(c, 0) available, greatest(min_rows, floor(target_share * floor(draw_share * n.n + 1e-9) + 1e-9))::bigint needed, coalesce(min_rows, 0) low, floor(draw_share * n.n + 1e-9)::bigint draw
+  from sampling_targets t cross join n left join h on h.dimension = t.dimension and h.k = case when t.dimension = 'tl_id' then {key("category")} else category end)"""
+    state = "nullif(regexp_replace(regexp_replace(trim(regexp_replace(lower(translate(state_file, '" + wide + "', '" + half + "')), '[\\\\/]+', '/', 'g')), '^.*outputs/states/', ''), '(\\.xml)?(\\.gz)?$', ''), '')"
+    related = f"""with recursive k0 as (select rec_id, metadata.tl_id tl, {state} state from train_samples),
+ k as (select rec_id, state, case when {key("tl")} is not null then tl end spelled, coalesce({key("tl")}, {key("nullif(regexp_extract(state, 'state_[0-9-]+_t[0-9-]+_(.+)$', 1), '')")}, state, 'rec:' || rec_id) light from k0),
+ e as (select distinct a.light u, b.light v from (select distinct state, light from k where state is not null) a join (select distinct state, light from k where state is not null) b using (state) where a.light <> b.light),
+ c(u, v) as (select u, u from (select distinct u from e) union select c.u, e.v from c join e on e.u = c.v),
+ r as (select u light, min(v) root from c group by 1),
+ sh as (select regexp_replace(regexp_replace(regexp_replace(spelled, '[0-9]+', '9', 'g'), '[a-z]+', 'a', 'g'), '[A-Z]+', 'A', 'g') s from k where spelled is not null),
+ st as (select coalesce((select s from sh where regexp_matches(s, '^[aA][^aA9]?9$') group by s order by count(*) desc, s limit 1), 'a_9') s),
+ nm as (select distinct light, case when regexp_matches(light, '^[a-z]+[0-9]+$') then (case when st.s[1] = 'A' then upper(regexp_extract(light, '^[a-z]+')) else regexp_extract(light, '^[a-z]+') end) || trim(st.s, 'aA9') || regexp_extract(light, '[0-9]+$') else light end shown from k, st),
+ g as (select root, min(shown) group_light from r join nm using (light) group by 1),
+ f as (select rec_id, coalesce(group_light, shown) group_light from k join nm using (light) left join r using (light) left join g using (root))"""
+    return {
+        "p1_found": f"{related} select rec_id, group_light from f",
+        "p5_found": f"{counted} select target_set, category from t where available < needed",
+        "p5_stats": f"""{counted}, q as (select *, least(needed, available) sampled, min(least(draw, case when target_share > 0 then floor(available / target_share + 1e-9) end)) over (partition by target_set) scaled from t)
+ select target_set, category, available, needed, sampled, coalesce(sampled / nullif(sum(sampled) over (partition by target_set), 0)::double, 0) share, target_share, available < needed exhausted, least(available, greatest(low, floor(target_share * scaled + 1e-9)))::bigint scaled_quota from q""",
     }
