@@ -76,8 +76,6 @@ ORACLES.update({
     "congestion": """with h as (select strftime(ts, '%Y-%m-%d %H') "hour", avg(value) v, count(*)::double n from events group by 1), i as (select "hour", round(0.4::double * least(v / 100, 1) + 0.3::double * least(n / 100, 1) + 0.3::double * least(v / 60, 1), 6) idx from h)
  select "hour", idx, case when idx < 0.3::double then 'free' when idx < 0.5 then 'light' when idx < 0.7::double then 'moderate' when idx < 0.9::double then 'heavy' else 'severe' end "level" from i""",
     "tumbling_windows": """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') w_start, event_type, count(*) n from events group by 1, 2""",
-    "first_valid_attempts": """with a as (select rec_id id, response_id attempt, coalesce(contains(content, '</SOLUTION>'), false) v, not coalesce(success, false) f from api_responses), g as (select id, min(case when v then attempt end) ok, min(case when f then attempt end) err, max(attempt) "last" from a group by 1)
- select id, case when ok is not null and (err is null or err > ok) then 'success' when err is not null then 'api_error' else 'constraint_failed' end status, case when ok is not null and (err is null or err > ok) then ok else "last" end attempt from g""",
     "failure_buckets": f"with {SD} select run, count(*) filter (fb = 'format_failure') format_failure, count(*) filter (fb = 'constraint_failure') constraint_failure, count(*) filter (fb = 'saturation_mismatch') saturation_mismatch, count(*) filter (fb = 'saturation_match') saturation_match from sd group by 1",
     "run_summary": f"""with {DT}, s as (select run, sample_id, bool_and(in_range) ok from dr group by 1, 2), a as (select run, count(*) samples, avg(ok::int) c from s group by 1),
  p as (select run, avg(is_match::int) m, avg(deviation) e, median(deviation) md, max(deviation) mx from dr group by 1)

@@ -319,9 +319,3 @@ def diversified_samples(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "train_samples").select("rec_id", F.col("prediction.phase_waits").alias("o"), augment.diversify(F.col("prediction.phase_waits"), F.col("rec_id")).alias("w"))
     ok = F.forall("w", lambda w: (w["min_green"] >= 5) & (w["max_green"] <= 150) & (w["min_green"] <= w["max_green"]) & (w["capacity"] >= 15) & (w["pred_saturation"] >= 0) & (F.abs(w["pred_wait"] - w["pred_saturation"] * w["capacity"]) <= 0.0051))
     return v.select("rec_id", F.size("w").cast("bigint").alias("n"), ok.alias("inside"))
-
-
-@query
-def first_valid_attempts(s: SparkSession, d: str) -> DataFrame:
-    a = table(s, d, "api_responses").select(F.col("rec_id").alias("id"), F.col("response_id").alias("attempt"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce(F.col("content").contains("</SOLUTION>"), F.lit(False)).alias("valid"), (~F.coalesce("success", F.lit(False))).alias("failed"))
-    return augment.first_valid_attempt(a).select("id", "status", "attempt")

@@ -11,10 +11,11 @@ from .registry import checked_by, query, table
 
 WORDING = "Time the signals."
 
-#: Answers with their plan: e is null where the text is no JSON list.
+#: Answers with their plan: e is null where the text is no JSON list. DuckDB passes a comma before a closing bracket, which
+#: is no JSON.
 A = r"""a0 as (select r.result_id, r.source, r.status, coalesce(r.raw_content, '') a, s.prediction.phase_waits w, case when regexp_matches(coalesce(r.raw_content, ''), '(?s)<SOLUTION>.*</SOLUTION>') then regexp_extract(r.raw_content, '(?s)<SOLUTION>(.*?)</SOLUTION>', 1) end sol
   from teacher_results r join train_samples s using (rec_id)),
- a1 as (select *, case when json_valid(sol) and json_type(sol) = 'ARRAY' then list_transform(json_extract(sol, '$[*]'), lambda j: {'is_obj': json_type(j) = 'OBJECT', 'it': json_type(j, '$.phase_id'), 'ft': json_type(j, '$.final'),
+ a1 as (select *, case when (json_valid(sol) and not regexp_matches(sol, ',\s*[}\]]')) and json_type(sol) = 'ARRAY' then list_transform(json_extract(sol, '$[*]'), lambda j: {'is_obj': json_type(j) = 'OBJECT', 'it': json_type(j, '$.phase_id'), 'ft': json_type(j, '$.final'),
   'phase_id': case when json_type(j, '$.phase_id') in ('UBIGINT', 'BIGINT') then try_cast(j->>'$.phase_id' as bigint) when json_type(j, '$.phase_id') = 'BOOLEAN' then (j->>'$.phase_id' = 'true')::bigint end,
   'final': case when json_type(j, '$.final') in ('UBIGINT', 'BIGINT') then try_cast(j->>'$.final' as bigint) when json_type(j, '$.final') = 'BOOLEAN' then (j->>'$.final' = 'true')::bigint end,
   'number': case when json_type(j, '$.final') in ('UBIGINT', 'BIGINT', 'DOUBLE') then try_cast(j->>'$.final' as double) when json_type(j, '$.final') = 'BOOLEAN' then (j->>'$.final' = 'true')::int::double end}) end e from a0),
@@ -41,7 +42,7 @@ def checked(s: SparkSession, d: str) -> DataFrame:
 
 @checked_by(rf"""with {A}, p as (select result_id, sol, e, case when regexp_matches(a, '(?s)<start_working_out>.*?(<end_working_out>|</start_working_out>)') then regexp_extract(a, '(?s)<start_working_out>(.*?)(<end_working_out>|</start_working_out>)', 1)
   when regexp_matches(a, '<end_working_out>|</start_working_out>') then regexp_extract(a, '(?s)^(.*?)(<end_working_out>|</start_working_out>)', 1) end think from a1),
- q as (select *, case when think is null then 'no_end_tag' when sol is null then 'no_solution' when e is null and not json_valid(sol) then 'bad_json' when e is null then 'not_list' end error from p)
+ q as (select *, case when think is null then 'no_end_tag' when sol is null then 'no_solution' when e is null and not (json_valid(sol) and not regexp_matches(sol, ',\s*[}}\]]')) then 'bad_json' when e is null then 'not_list' end error from p)
  select result_id, error is null success, coalesce(error, '') error, length(think)::bigint think_chars, len(e)::bigint n from q""")
 def parse_output(s: SparkSession, d: str) -> DataFrame:
     p = answers(s, d).select("result_id", plans.parse_output(F.coalesce("raw_content", F.lit(""))).alias("p"))
@@ -49,13 +50,13 @@ def parse_output(s: SparkSession, d: str) -> DataFrame:
 
 
 @checked_by(rf"""with {A}, b as (select result_id, w, list_min(list_transform(w, lambda q: q.min_green)) lo, list_max(list_transform(w, lambda q: q.max_green)) hi, trim(case when regexp_matches(a, '(?is)<solution>.*?</solution>') then regexp_extract(a, '(?is)<solution>\s*(.*?)\s*</solution>', 1) else a end, E' \t\r\n') body from a0),
- l as (select *, case when json_valid(body) and json_type(body) = 'ARRAY' then json_extract(body, '$[*]') end e from b),
+ l as (select *, case when (json_valid(body) and not regexp_matches(body, ',\s*[}}\]]')) and json_type(body) = 'ARRAY' then json_extract(body, '$[*]') end e from b),
  f as (select result_id, i, case when json_type(j) <> 'OBJECT' then 'not_object' when json_type(j, '$.phase_id') is null then 'no_phase_id' when json_type(j, '$.final') is null then 'no_final' when json_type(j, '$.phase_id') not in ('UBIGINT', 'BIGINT', 'BOOLEAN') then 'phase_id_type'
   when json_type(j, '$.final') not in ('UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') then 'final_type' when id <> i - 1 and id <> i then 'order' when num < lo or num > hi then 'range' end fault, num
   from (select *, case when json_type(j, '$.phase_id') = 'BOOLEAN' then (j->>'$.phase_id' = 'true')::bigint else try_cast(j->>'$.phase_id' as bigint) end id, case when json_type(j, '$.final') = 'BOOLEAN' then (j->>'$.final' = 'true')::bigint else trunc(try_cast(j->>'$.final' as double))::bigint end num
   from (select result_id, lo, hi, i, e[i] j from (select *, unnest(range(1, len(e) + 1)) i from l where e is not null)))),
  g as (select result_id, arg_min(fault, i) filter (fault is not null) fault, sum(num)::bigint total from f group by 1),
- r as (select l.result_id, case when body = '' then 'empty' when e is null and not json_valid(body) then 'json' when e is null then 'not_list' when len(e) <> len(w) then 'length' else fault end error, coalesce(total, 0) total from l left join g using (result_id))
+ r as (select l.result_id, case when body = '' then 'empty' when e is null and not (json_valid(body) and not regexp_matches(body, ',\s*[}}\]]')) then 'json' when e is null then 'not_list' when len(e) <> len(w) then 'length' else fault end error, coalesce(total, 0) total from l left join g using (result_id))
  select result_id, coalesce(error, '') error, case when error is null then total end total from r""")
 def parse_timing(s: SparkSession, d: str) -> DataFrame:
     lo, hi = F.array_min(F.transform("phase_waits", lambda w: w["min_green"])), F.array_max(F.transform("phase_waits", lambda w: w["max_green"]))
@@ -283,3 +284,19 @@ def sampling_statistics(s: SparkSession, d: str) -> DataFrame:
 @checked_by("""select p::bigint phase_id, count(*) n from (select unnest(regexp_extract_all(prompt, '"phase_id": ([0-9]+)', 1)) p from train_samples) group by 1""")
 def phase_id_histogram(s: SparkSession, d: str) -> DataFrame:
     return metrics.phase_id_histogram(table(s, d, "train_samples"), "prompt")
+
+
+CALLS = A.replace("r.status", "not coalesce(r.success, false) failed, rec_id").replace("r.raw_content", "r.c").replace("teacher_results r", "(select response_id result_id, rec_id, source, success, coalesce(case when json_valid(content) then json_extract_string(content, '$.content') end, content) c from api_responses) r")
+
+
+@checked_by(f"""with {CALLS}, k as (select result_id, bool_and(p.phase_id is not distinct from q.phase_id and p.final is not null and p.final between q.min_green and q.max_green) ok from ph where ne = nw group by 1),
+ v as (select rec_id id, a1.result_id attempt, failed f, regexp_matches(a, '<end_working_out>|</start_working_out>') and sol is not null and e is not null and len(e) = len(w) and coalesce(ok, len(w) = 0) v from a1 left join k using (result_id)),
+ g as (select id, min(case when v then attempt end) ok, min(case when f then attempt end) err, max(attempt) "last" from v group by 1)
+ select id, case when ok is not null and (err is null or err > ok) then 'success' when err is not null then 'api_error' else 'constraint_failed' end status, case when ok is not null and (err is null or err > ok) then ok else "last" end attempt from g""")
+def first_valid_attempts(s: SparkSession, d: str) -> DataFrame:
+    """The first answer of each sample that parses and keeps its constraints; a failed call before it decides."""
+    a = table(s, d, "api_responses").select("rec_id", "response_id", "success", F.coalesce(x.unwrap_response(F.col("content")), F.lit("")).alias("content"))
+    j = a.join(table(s, d, "train_samples").select("rec_id", "prediction.phase_waits"), "rec_id").withColumn("p", plans.parse_output(F.col("content")))
+    valid = F.coalesce(F.col("p.success") & plans.constraint_error(F.col("p.elems"), F.col("phase_waits")).isNull(), F.lit(False))
+    c = j.select(F.col("rec_id").alias("id"), F.col("response_id").alias("attempt"), "content", valid.alias("valid"), (~F.coalesce("success", F.lit(False))).alias("failed"))
+    return augment.first_valid_attempt(c).select("id", "status", "attempt")
