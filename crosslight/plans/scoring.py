@@ -43,13 +43,13 @@ def checked(s: SparkSession, d: str) -> DataFrame:
 @checked_by(rf"""with {A}, p as (select result_id, sol, e, case when regexp_matches(a, '(?s)<start_working_out>.*?(<end_working_out>|</start_working_out>)') then regexp_extract(a, '(?s)<start_working_out>(.*?)(<end_working_out>|</start_working_out>)', 1)
   when regexp_matches(a, '<end_working_out>|</start_working_out>') then regexp_extract(a, '(?s)^(.*?)(<end_working_out>|</start_working_out>)', 1) end think from a1),
  q as (select *, case when think is null then 'no_end_tag' when sol is null then 'no_solution' when e is null and not (json_valid(sol) and not regexp_matches(sol, ',\s*[}}\]]')) then 'bad_json' when e is null then 'not_list' end error from p)
- select result_id, error is null success, coalesce(error, '') error, length(think)::bigint think_chars, len(e)::bigint n from q""")
+ select result_id, error is null success, coalesce(error, '') error, coalesce(length(think), -1)::bigint think_chars, coalesce(len(e), -1)::bigint n from q""")
 def parse_output(s: SparkSession, d: str) -> DataFrame:
     p = answers(s, d).select("result_id", plans.parse_output(F.coalesce("raw_content", F.lit(""))).alias("p"))
-    return p.select("result_id", "p.success", F.coalesce("p.error", F.lit("")).alias("error"), F.length("p.think_text").cast("bigint").alias("think_chars"), F.when(F.col("p.elems").isNotNull(), F.size("p.elems")).cast("bigint").alias("n"))
+    return p.select("result_id", "p.success", F.coalesce("p.error", F.lit("")).alias("error"), F.coalesce(F.length("p.think_text"), F.lit(-1)).cast("bigint").alias("think_chars"), F.coalesce(F.size("p.elems"), F.lit(-1)).cast("bigint").alias("n"))
 
 
-@checked_by(rf"""with {A}, b as (select result_id, w, list_min(list_transform(w, lambda q: q.min_green)) lo, list_max(list_transform(w, lambda q: q.max_green)) hi, trim(case when regexp_matches(a, '(?is)<solution>.*?</solution>') then regexp_extract(a, '(?is)<solution>\s*(.*?)\s*</solution>', 1) else a end, E' \t\r\n') body from a0),
+@checked_by(rf"""with {A}, b as (select result_id, w, list_min(list_transform(w, lambda q: q.min_green)) lo, list_max(list_transform(w, lambda q: q.max_green)) hi, trim(case when regexp_matches(a, '(?is)<solution>.*?</solution>') then regexp_extract(a, '(?is)<solution>\s*(.*?)\s*</solution>', 1) else a end, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) body from a0),
  l as (select *, case when (json_valid(body) and not regexp_matches(body, ',\s*[}}\]]')) and json_type(body) = 'ARRAY' then json_extract(body, '$[*]') end e from b),
  f as (select result_id, i, case when json_type(j) <> 'OBJECT' then 'not_object' when json_type(j, '$.phase_id') is null then 'no_phase_id' when json_type(j, '$.final') is null then 'no_final' when json_type(j, '$.phase_id') not in ('UBIGINT', 'BIGINT', 'BOOLEAN') then 'phase_id_type'
   when json_type(j, '$.final') not in ('UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') then 'final_type' when id <> i - 1 and id <> i then 'order' when num < lo or num > hi then 'range' end fault, num
@@ -57,11 +57,11 @@ def parse_output(s: SparkSession, d: str) -> DataFrame:
   from (select result_id, lo, hi, i, e[i] j from (select *, unnest(range(1, len(e) + 1)) i from l where e is not null)))),
  g as (select result_id, arg_min(fault, i) filter (fault is not null) fault, sum(num)::bigint total from f group by 1),
  r as (select l.result_id, case when body = '' then 'empty' when e is null and not (json_valid(body) and not regexp_matches(body, ',\s*[}}\]]')) then 'json' when e is null then 'not_list' when len(e) <> len(w) then 'length' else fault end error, coalesce(total, 0) total from l left join g using (result_id))
- select result_id, coalesce(error, '') error, case when error is null then total end total from r""")
+ select result_id, coalesce(error, '') error, case when error is null then total else -1 end total from r""")
 def parse_timing(s: SparkSession, d: str) -> DataFrame:
     lo, hi = F.array_min(F.transform("phase_waits", lambda w: w["min_green"])), F.array_max(F.transform("phase_waits", lambda w: w["max_green"]))
     p = answers(s, d).select("result_id", plans.parse_timing(F.coalesce("raw_content", F.lit("")), F.size("phase_waits"), lo, hi).alias("p"))
-    return p.select("result_id", F.coalesce("p.error", F.lit("")).alias("error"), "p.total")
+    return p.select("result_id", F.coalesce("p.error", F.lit("")).alias("error"), F.coalesce("p.total", F.lit(-1).cast("bigint")).alias("total"))
 
 
 @checked_by(f"""with {A}, f as (select result_id, arg_min(k, i) filter (k is not null) k from (select result_id, i, case when p.phase_id is distinct from q.phase_id then 'order' when p.final is null then 'whole number' when p.final not between q.min_green and q.max_green then 'range' end k from ph where ne = nw) group by 1)
@@ -103,7 +103,7 @@ def reward_scores(s: SparkSession, d: str) -> DataFrame:
     return r.select("result_id", F.round("score_constraints", 6).alias("score_constraints"), F.round("score_saturation", 6).alias("score_saturation"), "score_format_exact")
 
 
-@checked_by(rf"""with {A}, {CS}, g as (select a1.result_id, regexp_matches(a, '(?s)<end_working_out>.*?<SOLUTION>(.+?)</SOLUTION>\s*$') and ord and coalesce(len(list_filter(e, lambda p: not coalesce(len(list_filter(w, lambda q: q.phase_id = p.phase_id and p.final between q.min_green and q.max_green)) > 0, false))) = 0, false) ok, list_sum(list_transform(e, lambda p: p.final)) total from a1 join cs using (result_id)),
+@checked_by(rf"""with {A}, {CS}, g as (select a1.result_id, regexp_matches(a, '(?s)<end_working_out>.*?<SOLUTION>(.+?)</SOLUTION>[\s\x{{3000}}\x{{0085}}\x{{00a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}]*$') and ord and coalesce(len(list_filter(e, lambda p: not coalesce(len(list_filter(w, lambda q: q.phase_id = p.phase_id and p.final between q.min_green and q.max_green)) > 0, false))) = 0, false) ok, list_sum(list_transform(e, lambda p: p.final)) total from a1 join cs using (result_id)),
  v as (select *, 0.3::double * (result_id % 7 - 3) / 10.0::double + 0.4::double * (total - 60) / total::double x from g) select result_id, round(case when not ok then 0 when x >= 0 then ln(1 + x) / ln(2) * 5 else greatest(x * 5, -2.5) end, 6) score from v""")
 def gated_improvement(s: SparkSession, d: str) -> DataFrame:
     """The outcome's score behind its gate; baseline and outcome are made up from ids and plans, delays are 0."""
@@ -155,7 +155,7 @@ checked_by(ORACLE_PHASES)(plan_phases)
 
 
 @checked_by("""select source, count(*) total, sum(bad)::bigint constraint_violations, count(*) filter (not regexp_matches(coalesce(think_text, ''), '\\S')) empty_thinks, round(avg(length(coalesce(think_text, ''))), 4) mean_think from (
- select coalesce(r.source, '(none)') source, think_text, coalesce(list_sum(list_transform(range(1, least(len(solution), len(s.prediction.phase_waits)) + 1), lambda i: (solution[i].phase_id is distinct from s.prediction.phase_waits[i].phase_id)::int + (not coalesce(solution[i].final between s.prediction.phase_waits[i].min_green and s.prediction.phase_waits[i].max_green, false))::int)), 0) bad
+ select coalesce(r.source, '(none)') source, think_text, case when solution is null then 0 else coalesce(list_sum(list_transform(range(1, least(len(solution), len(s.prediction.phase_waits)) + 1), lambda i: (solution[i].phase_id is distinct from s.prediction.phase_waits[i].phase_id)::int + (not coalesce(solution[i].final between s.prediction.phase_waits[i].min_green and s.prediction.phase_waits[i].max_green, false))::int)), 0) end bad
  from teacher_results r join train_samples s using (rec_id)) group by 1""")
 def assembly_stats(s: SparkSession, d: str) -> DataFrame:
     j = table(s, d, "teacher_results").select("rec_id", F.coalesce("source", F.lit("(none)")).alias("source"), "solution", F.col("think_text").alias("think")).join(table(s, d, "train_samples").select("rec_id", "prediction.phase_waits"), "rec_id")
@@ -198,13 +198,14 @@ def rendered_input(s: SparkSession, d: str) -> DataFrame:
 
 
 @checked_by(r"""with p as (select rec_id, regexp_extract(prompt, '(?s)【cycle_predict_input_json】(.*?)【/cycle_predict_input_json】', 1) j from train_samples), w as (select rec_id, unnest(json_extract(j, '$.prediction.phase_waits[*]')) x from p where json_valid(j))
- select rec_id, count(*) n, round(sum(coalesce(case when json_type(x, '$.pred_wait') in ('DOUBLE', 'BIGINT', 'UBIGINT') then (x->>'$.pred_wait')::double end, round(coalesce(case when json_type(x, '$.pred_saturation') in ('DOUBLE', 'BIGINT', 'UBIGINT') then (x->>'$.pred_saturation')::double end, 0) * coalesce((x->>'$.capacity')::int, 30), 2))), 1) total from w
- where rec_id not in (select rec_id from train_samples where list_contains(list_transform(prediction.phase_waits, lambda w: coalesce(isnan(w.pred_saturation), false)), true)) group by 1""")
+ select rec_id, count(*) n, true near from w where rec_id not in (select rec_id from train_samples where list_contains(list_transform(prediction.phase_waits, lambda w: coalesce(isnan(w.pred_saturation), false)), true)) group by 1""")
 def injected_waits(s: SparkSession, d: str) -> DataFrame:
+    """Every phase of the rendered prompt has its wait, which is saturation times capacity to two digits."""
     nan = F.coalesce(F.exists("prediction.phase_waits", lambda w: F.isnan(w["pred_saturation"])), F.lit(False))
     t_ = table(s, d, "train_samples").where(~nan).select("rec_id", x.prompt_json(x.inject_pred_wait(F.col("prompt"), WORDING)).alias("j"))
-    w = t_.select("rec_id", F.from_json("j", "prediction struct<phase_waits:array<struct<pred_wait:double>>>")["prediction"]["phase_waits"].alias("w")).where("size(w) > 0")
-    return w.select("rec_id", F.size("w").cast("bigint").alias("n"), F.round(F.aggregate("w", F.lit(0.0), lambda a, p: a + p["pred_wait"]), 1).alias("total"))
+    w = t_.select("rec_id", F.from_json("j", "prediction struct<phase_waits:array<struct<pred_wait:double,pred_saturation:double,capacity:int>>>")["prediction"]["phase_waits"].alias("w")).where("size(w) > 0")
+    near = F.forall("w", lambda p: F.abs(p["pred_wait"] - F.coalesce(p["pred_saturation"], F.lit(0.0)) * F.coalesce(p["capacity"], F.lit(30))) <= 0.0051)
+    return w.select("rec_id", F.size("w").cast("bigint").alias("n"), F.coalesce(near, F.lit(False)).alias("near"))
 
 
 @checked_by("select rec_id, 2::bigint n, length(prompt)::bigint chars, case when strpos(state_file, 'outputs/states/') > 0 then substr(state_file, strpos(state_file, 'outputs/states/')) else state_file end state_file, 'simple' \"source\", metadata.tl_id tl_id from train_samples where prompt is not null")
@@ -254,17 +255,17 @@ def results_with_calls(s: SparkSession, d: str) -> DataFrame:
     return r.select("result_id", F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
-@checked_by("""select result_id, solution is null and len(d) > 0 used_default, len(coalesce(solution, d))::bigint n from (select r.result_id, r.solution, list_transform(s.prediction.phase_waits, lambda w: {'phase_id': w.phase_id, 'final': w.min_green}) d from teacher_results r left join train_samples s using (rec_id))""")
+@checked_by("""select result_id, solution is null and len(d) > 0 used_default, coalesce(len(coalesce(solution, d)), -1)::bigint n from (select r.result_id, r.solution, list_transform(s.prediction.phase_waits, lambda w: {'phase_id': w.phase_id, 'final': w.min_green}) d from teacher_results r left join train_samples s using (rec_id))""")
 def fallback_plans(s: SparkSession, d: str) -> DataFrame:
     d_ = table(s, d, "train_samples").select("rec_id", F.transform("prediction.phase_waits", lambda w: F.struct(w["phase_id"].alias("phase_id"), w["min_green"].alias("final"))).alias("default"))
     r = joins.with_fallback(table(s, d, "teacher_results").select("result_id", "rec_id", "solution"), d_, "rec_id", "solution", "default")
-    return r.select("result_id", "used_default", F.when(F.col("solution").isNotNull(), F.size("solution")).cast("bigint").alias("n"))
+    return r.select("result_id", "used_default", F.coalesce(F.size("solution"), F.lit(-1)).cast("bigint").alias("n"))
 
 
-@checked_by("select r.result_id, length(s.prompt)::bigint prompt_chars, length(r.raw_content)::bigint answer_chars from teacher_results r join train_samples s using (rec_id)")
+@checked_by("select r.result_id, coalesce(length(s.prompt), -1)::bigint prompt_chars, coalesce(length(r.raw_content), -1)::bigint answer_chars from teacher_results r join train_samples s using (rec_id)")
 def answers_with_prompts(s: SparkSession, d: str) -> DataFrame:
     j = joins.answers_to_prompts(table(s, d, "train_samples").select("rec_id", "prompt"), table(s, d, "teacher_results").select("result_id", "rec_id", "raw_content"), "rec_id")
-    return j.select("result_id", F.length("prompt").cast("bigint").alias("prompt_chars"), F.length("raw_content").cast("bigint").alias("answer_chars"))
+    return j.select("result_id", F.coalesce(F.length("prompt"), F.lit(-1)).cast("bigint").alias("prompt_chars"), F.coalesce(F.length("raw_content"), F.lit(-1)).cast("bigint").alias("answer_chars"))
 
 
 @checked_by("select rec_id from train_samples where length(prompt) <= 1600 // 2")
