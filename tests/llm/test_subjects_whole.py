@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from crosslight.llm import subjects
+from crosslight.llm import common, subjects
 
 
 def corpus(n):
@@ -41,3 +41,13 @@ def test_models_of_few_and_of_no_documents(spark):
     assert np.array_equal(got.counts, want.counts) and np.allclose(got.thresholds, want.thresholds)
     assert subjects.fitted(d, labels.limit(0), areas).subjects_of([["a"] * 5]) == [None]
     assert subjects.fitted(d, labels, areas.limit(0)).subjects_of([["a"] * 5]) == [None]
+
+
+def test_models_are_the_same_without_broadcasts(spark, monkeypatch):
+    docs, names = corpus(80)
+    d = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, s) for i, _, ls in docs for s in ls], "doc_id bigint, subject string")
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    got = subjects.fitted(d, labels, spark.createDataFrame([(s,) for s in names], "subject string"))
+    want = subjects.fit([(t, ls) for _, t, ls in docs], names)
+    assert np.array_equal(got.counts, want.counts) and np.allclose(got.thresholds, want.thresholds)
